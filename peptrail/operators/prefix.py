@@ -1,6 +1,6 @@
-"""Running sums and minima over a global order, without a task that sees all rows.
+"""Running sums and minima over a global order, without a task that sees all rows of a large table.
 
-Rows are bucketed by approximate quantiles of the order column, scanned within their bucket, and shifted by the totals of the buckets
+By Catalyst's estimate of its size, a small table is scanned by a plain window; of a large one, rows are bucketed by approximate quantiles of the order column, scanned within their bucket, and shifted by the totals of the buckets
 before. The quantiles only balance the work; they don't affect the result.
 """
 
@@ -9,13 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peptrail.session import plan_bytes
+
 BUCKET = "_bucket"
+#: Estimated size up to which a plain window is used. The result is the same either way.
+SMALL_BYTES = 128 << 20
 _FN = {"sum": F.sum, "min": F.min, "max": F.max}
 _COMBINE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
 
 def bucketed(df: DataFrame, parts: list[str], value: str, buckets: int | None = None) -> DataFrame:
-    """df with its bucket: equal values share one; each of the ``parts`` groups (few, such as features) has its own quantiles."""
+    """df with its bucket, or unchanged if it is small: equal values share one; each of the ``parts`` groups (few, such as features) has its
+    own quantiles."""
+    if buckets is None and plan_bytes(df) <= SMALL_BYTES:
+        return df
     n = buckets or min(256, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probes = F.array(*[F.lit(k / n) for k in range(1, n)])
     cuts = df.groupBy(*parts).agg(F.percentile_approx(value, probes, 2_000).alias("_cuts"))
@@ -29,6 +36,9 @@ def scan(df: DataFrame, parts: list[str], value: str, descending: bool, out: dic
     df comes from ``bucketed``; values must be distinct within ``parts``, or ties take their order by chance.
     """
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if BUCKET not in df.columns:
+        w = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(way(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[c for c in df.columns if c not in out], *[_FN[f](c).over(w).alias(o) for o, (f, c) in out.items()])
     totals = df.groupBy(*parts, BUCKET).agg(*[_FN[f](c).alias(f"_t_{o}") for o, (f, c) in out.items()])
     earlier = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(way(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*parts, BUCKET, *[_FN[f](f"_t_{o}").over(earlier).alias(f"_o_{o}") for o, (f, _) in out.items()])

@@ -90,13 +90,16 @@ def group_proteins(peptides: DataFrame, decoy_prefix: str = "decoy_", has_decoys
     return ProteinTables(unique, shared, pairs, decoy_prefix, has_decoys)
 
 
-def match_decoys(decoys: DataFrame, targets: DataFrame, peptide: str = "peptide", seed: int = 1) -> DataFrame:
-    """(decoy, target): each decoy peptide with a target of the same residues, each target used once at most, in a seeded order."""
+def match_decoys(decoys: DataFrame, targets: DataFrame, peptide: str = "peptide", seed: int | None = 1) -> DataFrame:
+    """(decoy, target): each decoy peptide with a target of the same residues, each target used once at most.
+
+    Both are taken in a seeded order, or by name if ``seed`` is None. Repeated peptides count once.
+    """
     from pyspark.sql import Window
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
         d = df.select(F.col(peptide).alias(name)).distinct().withColumn("key", composition_key(F.col(name)))
-        return d.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(name, F.lit(seed)), name)))
+        return d.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*([] if seed is None else [F.xxhash64(name, F.lit(seed))]), name)))
 
     return ranked(decoys, "decoy").join(ranked(targets, "target"), ["key", "rank"]).select("decoy", "target")
 

@@ -6,11 +6,11 @@ All of them aggregate rows by score first, so that windows see distinct scores o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptrail.operators.histogram import Histogram, histogram, interpolate
-from peptrail.operators.prefix import bucketed, scan
+from peptrail.operators.prefix import BUCKET, bucketed, scan
 
 _INF = float("inf")
 
@@ -59,11 +59,17 @@ def tdc_table(df: DataFrame, score: str, target: str, descending: bool = True, p
     first = F.when((F.col("_d") > 0) & (before > 0), (F.col("_cd") - F.col("_d") + 2) / F.when(before > 0, before).cast("double")).otherwise(one)
     rated = c.withColumn("_f", F.least(one, last, first).cast("float"))
     least = scan(rated, parts, "_s", not descending, {"_m": ("min", "_f")})
+    q = F.when(F.col("_m") == F.col("_w"), F.lit(1.0)).otherwise(F.col("_m").cast("double")).alias("_q")
+    if BUCKET not in rated.columns:
+        order = F.col("_s").asc() if descending else F.col("_s").desc()
+        w = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = rated.select("*", F.min("_f").over(w).alias("_m"), F.first("_f").over(w).alias("_w"))
+        return both.select(*parts, "_s", "_t", "_d", q)
     worst = rated.groupBy(*parts).agg((F.min_by if descending else F.max_by)("_f", "_s").alias("_w"))
     if not parts:
         least, worst = least.withColumn("_all", F.lit(0)), worst.withColumn("_all", F.lit(0))
     joined = least.join(F.broadcast(worst), parts or ["_all"])
-    return joined.select(*parts, "_s", "_t", "_d", F.when(F.col("_m") == F.col("_w"), F.lit(1.0)).otherwise(F.col("_m").cast("double")).alias("_q"))
+    return joined.select(*parts, "_s", "_t", "_d", q)
 
 
 def tdc(df: DataFrame, score: str, target: str, descending: bool = True, parts: list[str] | None = None, out: str = "q_value") -> DataFrame:

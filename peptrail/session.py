@@ -25,20 +25,28 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it back (an eager, reliable checkpoint).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a local session may fall back to a temporary folder; on a cluster a
-    missing setting is an error, as a folder of one machine would be lost with it.
+    Only a local session may fall back to a temporary folder; on a cluster a missing setting is an error, as a folder of one machine would
+    be lost with it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="peptrail-checkpoint-")
-        sc.setCheckpointDir(folder)
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="peptrail-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: an eager, reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
