@@ -55,10 +55,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Estimates from here on stand for an unknown size (a DataFrame made of local rows or an RDD).
+UNKNOWN_BYTES = 1 << 60
+
+
 def reduce_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions for a reduction over df: the session's shuffle partitions, more where the input is large."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(n, min(100_000, plan_bytes(df) // bytes_each))
+    """Partitions for a reduction over df: the session's shuffle partitions, more where the input is known to be large."""
+    n, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return n if size >= UNKNOWN_BYTES else max(n, min(20_000, size // bytes_each))
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,6 +5,16 @@ from __future__ import annotations
 BLANK = " \t\r\n\f\v ﻿"
 
 
+def unescape(s: str) -> str:
+    """Without the backslashes that protect a character; blanks around the value never count, protected or not."""
+    out, i = [], 0
+    while i < len(s):
+        i += s[i] == "\\" and i + 1 < len(s)
+        out.append(s[i])
+        i += 1
+    return "".join(out)
+
+
 def split_packed(field: str | None) -> list[str]:
     """Character by character: values of a packed field."""
     if field is None or not (t := field.strip(BLANK)):
@@ -46,10 +56,11 @@ def split_packed(field: str | None) -> list[str]:
             j, got = i, []
             while j < n and not delimiter(j):
                 if t[j] == "\\" and j + 1 < n:
+                    got.append(t[j])
                     j += 1
                 got.append(t[j])
                 j += 1
-            value = "".join(got)
+            value = unescape("".join(got).strip(BLANK))
         if value := value.strip(BLANK):
             out.append(value)
         i = j + 1
