@@ -103,7 +103,8 @@ def packed(docs: DataFrame, capacities: DataFrame, apart: Sequence[tuple[str, st
     tokens and no piece; equal texts and repeated rows are pieces each; null or non-positive capacities are passed over. ``apart``: pairs
     of sources that should not share a container.
     """
-    sized = cut_lineage(sized_documents(docs, tokenizer))
+    # the row number, fixed by the checkpoint, tells repeated documents apart
+    sized = cut_lineage(sized_documents(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()))
     wanted = capacities.where("capacity_tokens > 0").select("capacity_id", "capacity_tokens").limit(MOST_CAPACITIES + 1).collect()
     if len(wanted) > MOST_CAPACITIES:
         raise ValueError(f"more than {MOST_CAPACITIES} capacities")
@@ -112,9 +113,9 @@ def packed(docs: DataFrame, capacities: DataFrame, apart: Sequence[tuple[str, st
     each = sized.select("*", F.inline(kinds))
     cap, n = F.col("capacity_tokens").cast("long"), F.col("n_tokens")
     full = each.where(n >= cap).select(
-        "capacity_id", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(n / cap))).alias("piece_no")
+        "capacity_id", "capacity_tokens", "doc_id", "row", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(n / cap))).alias("piece_no")
     ).select(
-        F.col("capacity_id").cast("int"), F.col("capacity_tokens").cast("int"), F.concat_ws("-", F.lit("full"), "doc_id", "piece_no").alias("container"), "doc_id", F.col("piece_no").cast("int"),
+        F.col("capacity_id").cast("int"), F.col("capacity_tokens").cast("int"), F.concat_ws("-", F.lit("full"), "row", "piece_no").alias("container"), "doc_id", F.col("piece_no").cast("int"),
         ((F.col("piece_no") - 1) * cap).alias("start_token"), cap.alias("n_tokens"),
     )
     items = each.where(n % cap > 0).select(
