@@ -131,7 +131,8 @@ def run_rollup(args: argparse.Namespace) -> dict[str, dict[str, str]]:
     from peptrail.streaming.histogram_confidence import histogram_confidence
 
     df = read_results(_session(None), args.src_dir, args.level, args.file_root + ".").withColumn("target", ~F.col("is_decoy"))
-    df = df.drop("q_value", "pep", "is_decoy").withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    df = df.drop("q_value", "pep", "is_decoy")
+    df = df.withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     by_lower = {c.lower().replace("_", ""): c for c in df.columns}
     written = {}
     for level in reachable_levels(args.level):

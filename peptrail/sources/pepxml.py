@@ -29,9 +29,11 @@ def hits(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     every = [paths] if isinstance(paths, str) else list(paths)
     runs = spark.read.format("xml").option("rowTag", "msms_run_summary").option("mode", "FAILFAST").schema(_SCHEMA).load(",".join(every))
     run = F.concat(F.coalesce("_base_name", F.lit("")), F.coalesce("_raw_data", F.lit("")))
-    q = runs.select(run.alias("ms_data_file"), F.explode("spectrum_query").alias("q"))
-    r = q.select("ms_data_file", "q", F.explode("q.search_result").alias("r"))
-    h = r.select("ms_data_file", "q", F.explode("r.search_hit").alias("h"))
+    some = lambda a: F.filter(a, lambda x: x.isNotNull())
+    pairs = F.transform(
+        "spectrum_query", lambda q: F.transform(F.flatten(some(F.transform(q["search_result"], lambda r: r["search_hit"]))), lambda h: F.struct(q.dropFields("search_result").alias("q"), h.alias("h")))
+    )
+    h = runs.select(run.alias("ms_data_file"), F.inline(F.flatten(some(pairs))))
     mods = F.transform(F.coalesce("h.modification_info.mod_aminoacid_mass", F.expr("array()").cast("array<struct<_position:int,_mass:string>>")), lambda m: F.struct(m["_position"].alias("position"), m["_mass"].alias("mass")))
     first_word = lambda p: F.substring_index(p, " ", 1)
     others = F.transform(F.coalesce("h.alternative_protein", F.expr("array()").cast("array<struct<_protein:string>>")), lambda a: first_word(a["_protein"]))
