@@ -47,7 +47,8 @@ _OPERATORS = "+-=/*·×→←<>≤≥|^_\\"
 _SCAN = re.compile(
     r"(?P<para>\r?\n[^\S\n]*(?:\n[^\S\n]*)+)"
     r"|(?P<claim>(?:(?<=\n)|\A)[^\S\n]*(?:\d{1,4}(?=[.)．）]\s)|[\[(]\d{1,4}[\])](?=\s)|【[^【】\n]{0,12}\d{1,4}[^【】\n]{0,4}】|\[[^\[\]\n]{0,10}\d{1,4}\](?=\s)))"
-    r"|(?P<term>[.!?。！？｡．…؟۔।॥]+)"
+    # not within a number or an abbreviation, nor before a lower-case word of the same script: nothing can end there
+    r"|(?P<term>(?!\.(?:\d|[a-z]+[^A-Za-z]|(?<=[A-Za-z]\.) [a-z]+[ ,;\n]))[.!?。！？｡．…؟۔।॥]+)"
     r"|(?P<mark>[()\[\]{}«»‹›“”„‟「」『』（）［］【】〔〕｛｝《》〈〉﹙﹚\"])"
     r"|(?P<thai>(?<=[฀-๎])[^\S\n\r]+(?=[฀-๎]))"
 )
@@ -58,7 +59,7 @@ _OPENERS = "\"“„«‹「『(（[［【{｛《〈¿¡'‘"
 #: An elided article ("d'env."), and a run of ideographs, kana or Hangul that Latin letters follow.
 _ELIDED = re.compile(r"\A[^\W\d_]{1,2}['’]")
 _WIDE = re.compile(r"\A.*[　-鿿가-힯＀-￯](?=[A-Za-z])")
-_TOKEN_END = re.compile(r"[^\s(\[{（【「『«“„\"]*\Z")
+_BREAKS = frozenset(" \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000([{（【「『«“„\"")
 
 
 @lru_cache(maxsize=4096)
@@ -197,17 +198,28 @@ def _foreign(text: str, i: int, j: int, k: int, m: int) -> tuple[int, int] | Non
     return (k, STRONG) if _script(letters[-1]) != _script(c) and _script(c) in ("latin", "cyrillic") else None
 
 
+def _token_start(text: str, i: int, low: int) -> int:
+    """Where the unbroken characters before i begin, ``low`` at the earliest."""
+    while i > low and text[i - 1] not in _BREAKS:
+        i -= 1
+    return i
+
+
 def _token(text: str, i: int) -> str:
     """The unbroken characters before i, from where the script without blanks between words ends."""
-    return _WIDE.sub("", _TOKEN_END.search(text, max(0, i - 40), i).group(0))
+    token = text[_token_start(text, i, max(0, i - 40)) : i]
+    return token if token.isascii() else _WIDE.sub("", token)
 
 
 def _before(text: str, i: int, token: str) -> str:
-    """The token before the token that ends at i."""
-    k = i - len(token)
-    head = text[max(0, k - 48) : k]
-    bare = head.rstrip()
-    return "" if head[len(bare) :].count("\n") > 1 else _TOKEN_END.search(bare).group(0)
+    """The token before the token that ends at i; none across an empty line."""
+    k = low = i - len(token)
+    bottom = max(0, low - 48)
+    lines = 0
+    while k > bottom and text[k - 1].isspace():
+        k -= 1
+        lines += text[k] == "\n"
+    return "" if lines > 1 else text[_token_start(text, k, bottom) : k]
 
 
 def _word_begins(text: str, m: int) -> bool:
@@ -241,12 +253,18 @@ def _claim_number(text: str, i: int, token: str) -> bool:
     return token.isdigit() and _paragraph_begins(text, i - len(token))
 
 
+def _measured(text: str, i: int, token: str, bare: str, begins: str) -> bool:
+    """A short lower-case token behind a number is a unit of measure, which a sentence can end with."""
+    if len(bare) > 4 or begins == "d" or bare != token:
+        return False
+    before = _before(text, i, token)
+    return bool(before) and before[-1].isdigit()
+
+
 def _abbreviated(text: str, i: int, token: str, low: str, begins: str, gap: bool) -> bool:
     """Whether the period at i belongs to an abbreviation or initial that the sentence goes on after."""
     bare = low.rstrip(".")
-    before = _before(text, i, token)
-    measured = bool(before) and before[-1].isdigit() and len(bare) <= 4 and begins != "d" and bare == token
-    if bare in GO_ON and not measured:
+    if bare in GO_ON and not _measured(text, i, token, bare, begins):
         return True
     if bare == "al" and text[i + 1 : i + 4].strip()[:1] == "(":
         return True
@@ -259,11 +277,10 @@ def _abbreviated(text: str, i: int, token: str, low: str, begins: str, gap: bool
         return begins == "d" and bare in ("in", "no")
     if _claim_number(text, i, token):
         return True
-    tail = re.split(r"[-/'’]", token)[-1] if not token.isdigit() else token
-    letters = [c for c in tail if _class(c) in "Ulo" and unicodedata.category(c)[0] == "L"]
-    if len(letters) == 1 and len(tail) <= 2 and _class(tail[0]) in "Ul" and tail == token and not measured:
+    if 0 < len(token) <= 2 and sum(c.isalpha() for c in token) == 1 and _class(token[0]) in "Ul" and not _measured(text, i, token, bare, begins):
+        before = _before(text, i, token)
         return not (before and before[-1] in _OPERATORS)
-    return bool(re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token)) and _script(token[0]) == "thai"
+    return "." in token and not token.isascii() and _script(token[0]) == "thai" and bool(re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token))
 
 
 def gaps(text: str, start: int, stop: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
