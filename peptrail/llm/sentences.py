@@ -8,9 +8,11 @@ go on, and the document's state-transition functions are composed by a prefix sc
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +63,14 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", chunk
     out = f"{key} {df.schema[key].dataType.simpleString()}, start_char long, end_char long"
     slim = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("t")).where(F.col("t").rlike(r"\S"))
 
-    def rows(keys: list, units: list[list[tuple[int, int]]]) -> pd.DataFrame:
-        n = [len(u) for u in units]
-        flat = np.array([x for u in units for x in u], np.int64).reshape(-1, 2)
-        return pd.DataFrame({key: pd.Series(keys, dtype=object).repeat(n).to_numpy(), "start_char": flat[:, 0], "end_char": flat[:, 1]})
+    def rows(keys: pa.Array, units: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        at = np.repeat(np.arange(len(units)), np.array([len(u) for u in units], np.int64))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(units)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=[key, "start_char", "end_char"])
 
-    def whole(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield rows(list(b[key]), [text_units(t) for t in b["t"]])
+            yield rows(b.column(0), [text_units(t) for t in b.column(1).to_pylist()])
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -91,10 +93,11 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", chunk
     def compose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("begin")
         pairs = [(list(map(tuple, np.asarray(f).reshape(-1, 3).tolist())), list(map(tuple, np.asarray(e).reshape(-1, 2).tolist()))) for f, e in zip(group["found"], group["extents"])]
-        return rows([group[key].iloc[0]], [join_stretches(pairs)])
+        found = join_stretches(pairs)
+        return pd.DataFrame({key: [group[key].iloc[0]] * len(found), "start_char": [a for a, _ in found], "end_char": [b for _, b in found]})
 
     length = F.length("t")
-    short = slim.where(length <= chunk).mapInPandas(whole, out)
+    short = slim.where(length <= chunk).mapInArrow(whole, out)
     kind = df.schema[key].dataType.simpleString()
     # a row id of its own keeps repeated rows apart
     chunks = slim.where(length > chunk).withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut, f"{key} {kind}, row long, begin long, length long, part string")
