@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peptrail.operators.skew import join_skewed
+from peptrail.session import cut_lineage
 from peptrail.sources.pin_lines import data_lines, headers
 
 # How text says that a value is missing.
@@ -60,18 +62,17 @@ def _exploded(d: DataFrame, *more: str) -> DataFrame:
     return cells.withColumn("role", role_of(F.col("no"), F.col("name"), F.col("width"))).drop("width")
 
 
-def schemas_with_text(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Headers with ``text_columns``: the features (by place) that are text in their file.
+def text_columns(data: DataFrame) -> DataFrame:
+    """(file_id, text_columns): the features (by place) that are text in their file, of files that have any.
 
     A feature is text if more than half of its non-empty values, over all lines that fit the header, are no numbers: single bad values
     don't turn a number column into text.
     """
-    schemas = headers(lines, files)
-    cells = _exploded(data_lines(lines, schemas)).where((F.col("role") == "feature") & (F.col("value") != ""))
+    cells = _exploded(data).where((F.col("role") == "feature") & (F.col("value") != ""))
     bad = F.sum(F.when(is_number(F.col("value")), 0).otherwise(1))
     text = cells.groupBy("file_id", "no").agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).where("2 * bad > n")
-    text = text.groupBy("file_id").agg(F.collect_list("no").alias("text_columns"))
-    return schemas.join(text, "file_id", "left").withColumn("text_columns", F.coalesce("text_columns", F.array().cast("array<int>")))
+    # as many entries as a header has columns
+    return text.groupBy("file_id").agg(F.collect_list("no").alias("text_columns"))
 
 
 def errors(data: DataFrame) -> DataFrame:
@@ -92,7 +93,9 @@ def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
     lines, comments, DefaultDirection rows and repeats of a header are neither. Empty tables give empty tables; repeated lines count each
     time; a line of unbounded length is one cell row at a time. Files that hold most lines are salted (see join_skewed).
     """
-    data = data_lines(lines, schemas_with_text(lines, files))
+    parsed = cut_lineage(data_lines(lines, headers(lines, files)))  # lines are parsed once, whatever is asked of them
+    texts = text_columns(parsed)
+    data = join_skewed(parsed, texts, "file_id", "line_id").withColumn("text_columns", F.coalesce("text_columns", F.array().cast("array<int>")))
     rejected = errors(data)
     width = F.size("header")
     rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from peptrail.operators.reject_rows import NUMBER, WHOLE, load_lines
 from peptrail.operators.skew import join_skewed
+from peptrail.session import cut_lineage
+from peptrail.sources.pin_lines import headers
 
 # Names (in any case) that mean the same feature of a peptide-spectrum match; the first is the common one.
 MEANINGS = (
@@ -129,14 +131,12 @@ def _migrate(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, s)) for s in migration(list(a), list(b))] for a, b in zip(old, new)], dtype=object)
 
 
-def versions(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(series_id, file_seq, file_id, columns, fingerprint): the schema of every file that has a header.
+def versions(lines: DataFrame, files: DataFrame, clean: DataFrame | None = None) -> DataFrame:
+    """(series_id, file_seq, file_id, columns, fingerprint): the schema of every file that has a header; ``clean``: its valid lines, if known.
 
     A column's type is the narrowest of whole, decimal and text that fits all its non-empty values in valid lines (whole, if it has none).
     """
-    from peptrail.sources.pin_lines import headers
-
-    clean, _ = load_lines(lines, files)
+    clean = load_lines(lines, files)[0] if clean is None else clean
     cells = clean.select("file_id", F.posexplode("values").alias("no", "v")).where("v <> ''")
     v = F.col("v")
     number, whole = v.rlike(NUMBER), v.rlike(WHOLE)
@@ -152,14 +152,15 @@ def versions(lines: DataFrame, files: DataFrame) -> DataFrame:
     return known.join(columns, "file_id").withColumn("fingerprint", print_of)
 
 
-def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
+def changes(lines: DataFrame, files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(series_id, file_id, field_name, change_kind, old_name, new_name, old_type, new_type): every change from a file to the next.
 
     Files follow each other by file_seq within their series (by file_id among equals); a null series has no order and no changes. Equal
-    fingerprints are passed over. The window streams through a series: it holds two records at a time.
+    fingerprints are passed over. The window streams through a series: it holds two records at a time. ``known``: the versions, if made.
     """
     w = Window.partitionBy("series_id").orderBy("file_seq", "file_id")
-    both = versions(lines, files).where("series_id is not null").withColumn("before", F.lag("columns").over(w)).withColumn("print_before", F.lag("fingerprint").over(w))
+    known = versions(lines, files) if known is None else known
+    both = known.where("series_id is not null").withColumn("before", F.lag("columns").over(w)).withColumn("print_before", F.lag("fingerprint").over(w))
     moved = both.where("before is not null and fingerprint <> print_before").select("series_id", "file_id", F.inline(_migrate("before", "columns")))
     name = F.when(F.col("change_kind") == "removed", F.col("old")).otherwise(F.col("new"))
     return moved.select("series_id", "file_id", name.alias("field_name"), "change_kind", F.col("old").alias("old_name"), F.col("new").alias("new_name"), "old_type", "new_type")
@@ -195,8 +196,9 @@ def unify(lines: DataFrame, files: DataFrame, fields: list[str] | None = None, m
     occur, of which there may be ``most_fields`` (the names of a schema, not data).
     """
     clean, _ = load_lines(lines, files)
-    fields_of = versions(lines, files).select("series_id", "file_id", F.posexplode("columns").alias("no", "c"), F.size("columns").alias("width"))
-    renames = changes(lines, files).where("change_kind = 'renamed'").select("series_id", F.struct(F.lower("old_name").alias("old"), F.lower("new_name").alias("new")).alias("p"))
+    known = cut_lineage(versions(lines, files, clean))
+    fields_of = known.select("series_id", "file_id", F.posexplode("columns").alias("no", "c"), F.size("columns").alias("width"))
+    renames = changes(lines, files, known).where("change_kind = 'renamed'").select("series_id", F.struct(F.lower("old_name").alias("old"), F.lower("new_name").alias("new")).alias("p"))
     chains = renames.groupBy("series_id").agg(_chain_input("p")).withColumn("chain", _chain("pairs")).select("series_id", "chain")
     common = F.create_map(*[F.lit(x) for name, group in _KNOWN.items() for x in (name, group)])
     low = F.lower("c.name")
