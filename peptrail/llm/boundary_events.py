@@ -19,6 +19,7 @@ PARA, OPEN, CLOSE, QUOTE, CLAIM, STRONG, AFTER_CLOSER, THAI_GAP = range(8)
 # Brackets and quotes by family; within a family an opener pairs with a closer.
 FAMILIES = ("(（﹙", "[［【〔", "{｛", "«‹", "「『", "“„‟", "《〈")
 FAMILY_CLOSERS = (")）﹚", "]］】〕", "}｝", "»›", "」』", "”“", "》〉")
+_MARKS = {c: (CLOSE, k) for k, s in enumerate(FAMILY_CLOSERS) for c in s} | {c: (OPEN, k) for k, s in enumerate(FAMILIES) for c in s} | {'"': (QUOTE, 0)}
 TERMINATORS = ".!?。！？｡．…؟۔।॥"
 #: Terminators of scripts without capital letters; they need no blank after them.
 FULL_STOPS = "。！？｡．؟۔।॥"
@@ -44,14 +45,17 @@ BEFORE_ORDINAL = frozenset("der die das dem den des im am vom zum zur beim ins e
 # Words that a number and a period follow within a sentence ("Version 6.", "pH 7.").
 _OPERATORS = "+-=/*·×→←<>≤≥|^_\\"
 
-_SCAN = re.compile(
-    r"(?P<para>\r?\n[^\S\n]*(?:\n[^\S\n]*)+)"
-    r"|(?P<claim>(?:(?<=\n)|\A)[^\S\n]*(?:\d{1,4}(?=[.)．）]\s)|[\[(]\d{1,4}[\])](?=\s)|【[^【】\n]{0,12}\d{1,4}[^【】\n]{0,4}】|\[[^\[\]\n]{0,10}\d{1,4}\](?=\s)))"
-    # not within a number or an abbreviation, nor before a lower-case word of the same script: nothing can end there
-    r"|(?P<term>(?!\.(?:\d|[a-z]+[^A-Za-z]|(?<=[A-Za-z]\.) [a-z]+[ ,;\n]))[.!?。！？｡．…؟۔।॥]+)"
-    r"|(?P<mark>[()\[\]{}«»‹›“”„‟「」『』（）［］【】〔〕｛｝《》〈〉﹙﹚\"])"
-    r"|(?P<thai>(?<=[฀-๎])[^\S\n\r]+(?=[฀-๎]))"
+# Where an event may be: a line's end, a terminator, a bracket or quote; but no period within a number or an abbreviation, before a lower-case
+# word of the same script, and no mark at a paragraph's end: no event would come of those.
+_HIT = re.compile(
+    "[\n" + re.escape(TERMINATORS) + "".join(map(re.escape, _MARKS)) + "]"
+    r"(?<!\.(?=\d|[a-z]+[^A-Za-z]))(?<![A-Za-z]\.(?= [a-z]+[ ,;\n]))(?<![.!?。！？](?=\r?\n[^\S\n]*\n|\Z))"
 )
+_RUN = re.compile("[" + re.escape(TERMINATORS) + "]+")
+_PARA = re.compile(r"\n(?:[^\S\n]*\n)+")
+_CLAIM = re.compile(r"\s*(?:\d{1,4}(?=[.)．）]\s)|[\[(]\d{1,4}[\])](?=\s)|【[^【】\n]{0,12}\d{1,4}[^【】\n]{0,4}】|\[[^\[\]\n]{0,10}\d{1,4}\](?=\s))")
+_THAI_SCRIPT = re.compile("[฀-๎]")
+_THAI_GAP = re.compile(r"(?<=[฀-๎])[^\S\n\r]+(?=[฀-๎])")
 _CLOSERS = re.compile(r"(?:[)\]}”’'」』）】》〉］｝]|(?:[  ]?[»›])|\"(?=[\s)\]}»”.,;:!?]|\Z)|“(?=[\s.,;:)]|\Z))*")
 _CLAIM_NEXT = re.compile(r"\s+((?:\[|\()?\d{1,4}[.)\]．）]\s+|【[^【】\n]{0,12}\d{1,4}[^【】\n]{0,4}】)(?=\S)")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
@@ -120,7 +124,8 @@ def _terminator(text: str, i: int, j: int) -> tuple[int, int] | None:
         run = text[i:j]
         after = text[j]
         return (j, STRONG)
-    k = _CLOSERS.match(text, j).end()
+    # most often a blank and a word follow
+    k = j if after == " " and text[j + 1 : j + 2] not in ("»", "›") else _CLOSERS.match(text, j).end()
     m = k
     while m < n and m - k < CONTEXT and text[m].isspace():
         m += 1
@@ -159,7 +164,9 @@ def _terminator(text: str, i: int, j: int) -> tuple[int, int] | None:
     if len(run) > 1 and not closed and prev.isspace() and begins != "U":
         return None
     token = _token(text, i)
-    low = _ELIDED.sub("", token.lower()).strip("'‘’")
+    low = token.lower()
+    if "'" in low or "’" in low or "‘" in low:
+        low = _ELIDED.sub("", low).strip("'‘’")
     if len(run) == 1 and not closed:
         if _abbreviated(text, i, token, low, begins, gap):
             return None
@@ -299,45 +306,55 @@ def gaps(text: str, start: int, stop: int, found: list[tuple[int, int, int]]) ->
 
 
 def events(text: str, start: int = 0, stop: int | None = None) -> list[tuple[int, int, int]]:
-    """(position, kind, argument) of the events with start <= position of their mark < stop, in order.
+    """(position, kind, argument) of the events whose mark lies in text[start:stop], in order.
 
     argument: the family of OPEN and CLOSE, else 0.
     """
     stop = len(text) if stop is None else stop
+    start = max(0, start)
     out: list[tuple[int, int, int]] = []
     late: list[tuple[int, int, int]] = []  # events that take place behind marks still to come
-    for f in _SCAN.finditer(text, max(0, start)):
+    passed = 0
+    if start == 0 and _CLAIM.match(text):
+        out.append((_visible(text, 0), CLAIM, 0))
+    for f in _HIT.finditer(text, start):
         at = f.start()
         if at >= stop:
             break
+        if at < passed:
+            continue
         while late and late[0][0] <= at:
             out.append(late.pop(0))
-        kind = f.lastgroup
-        if kind == "term":
-            e = _terminator(text, at, f.end())
-            if e:
-                late.append((e[0], e[1], 0))
-            c = _CLAIM_NEXT.match(text, e[0]) if e else None
-            if c and not _BLANK_LINE.search(text, f.end(), c.start(1)):
-                late.append((c.start(1), CLAIM, 0))
-        elif kind == "mark":
-            c = text[at]
-            if c == '"':
-                out.append((at, QUOTE, 0))
+        c = text[at]
+        if c == "\n":
+            if para := _PARA.match(text, at):
+                out.append((at, PARA, 0))
+                passed = para.end()
+                if _CLAIM.match(text, passed):
+                    late.append((_visible(text, passed), CLAIM, 0))
+        elif c in _MARKS:
+            if c == "“" and at and not text[at - 1].isspace() and (at + 1 >= len(text) or not text[at + 1].isalnum()):
+                out.append((at, CLOSE, _MARKS["”"][1]))
             else:
-                family = next((k for k, s in enumerate(FAMILIES) if c in s), -1)
-                if c == "“" and at and not text[at - 1].isspace() and (at + 1 >= len(text) or not text[at + 1].isalnum()):
-                    family = -1
-                if family >= 0:
-                    out.append((at, OPEN, family))
-                else:
-                    out.append((at, CLOSE, next(k for k, s in enumerate(FAMILY_CLOSERS) if c in s)))
-        elif kind == "para":
-            out.append((at, PARA, 0))
-        elif kind == "claim":
-            begin = at + len(f.group(0)) - len(f.group(0).lstrip())
-            if _paragraph_begins(text, begin):
-                out.append((begin, CLAIM, 0))
+                out.append((at, *_MARKS[c]))
         else:
-            out.append((at, THAI_GAP, 0))
-    return out + late
+            passed = _RUN.match(text, at).end()
+            e = _terminator(text, at, passed)
+            if e:
+                late.append((e[0], e[1], 0))
+                if not text[e[0] : e[0] + 2].strip().isalpha():
+                    claim = _CLAIM_NEXT.match(text, e[0])
+                    if claim and not _BLANK_LINE.search(text, passed, claim.start(1)):
+                        late.append((claim.start(1), CLAIM, 0))
+    out += late
+    if _THAI_SCRIPT.search(text):
+        thai = [(g.start(), THAI_GAP, 0) for g in _THAI_GAP.finditer(text, start) if g.start() < stop]
+        out = sorted(out + thai, key=lambda e: e[0])
+    return out
+
+
+def _visible(text: str, at: int) -> int:
+    """The first character from ``at`` on that isn't blank."""
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
