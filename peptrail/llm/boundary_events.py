@@ -37,7 +37,7 @@ GO_ON = frozenset(
 # Abbreviations that may also end a sentence; what follows decides.
 MAY_END = frozenset(
     """
-    etc usw al corp co ltd inc gmbh s.a c.v p.m a.m u.s u.s.a uu in lb lbs oz ft kg др т.д т.п кг г гг ff f jr bros
+    etc usw al corp co ltd inc gmbh s.a c.v p.m a.m u.s u.s.a uu in lb lbs oz ft kg wt др т.д т.п кг г гг ff f jr bros
     """.split()
 )
 # Words before a number that make it an ordinal where a capital follows ("im 17. Kapitel").
@@ -62,6 +62,8 @@ _BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 _OPENERS = "\"“„«‹「『(（[［【{｛《〈¿¡'‘"
 #: An elided article ("d'env."), and a run of ideographs, kana or Hangul that Latin letters follow.
 _ELIDED = re.compile(r"\A[^\W\d_]{1,2}['’]")
+#: A sentence's last word and its period, where the blank behind it was lost.
+_LOST_BLANK = re.compile(r".*[^\W\d_]{3,}\.(?=[^\W\d_])")
 _WIDE = re.compile(r"\A.*[　-鿿가-힯＀-￯](?=[A-Za-z])")
 _BREAKS = frozenset(" \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000([{（【「『«“„\"")
 
@@ -164,7 +166,11 @@ def _terminator(text: str, i: int, j: int) -> tuple[int, int] | None:
     if len(run) > 1 and not closed and prev.isspace() and begins != "U":
         return None
     token = _token(text, i)
+    if "." in token and (lost := _LOST_BLANK.match(token)):
+        token = token[lost.end() :]
     low = token.lower()
+    if low[:1].isalpha() and not low.isalpha() and low.isalnum():
+        low = low.replace("1", "l").replace("0", "o")  # as misread by text recognition
     if "'" in low or "’" in low or "‘" in low:
         low = _ELIDED.sub("", low).strip("'‘’")
     if len(run) == 1 and not closed:
@@ -198,7 +204,11 @@ def _foreign(text: str, i: int, j: int, k: int, m: int) -> tuple[int, int] | Non
     if _class(c) != "l" or j - i > 1:
         return None
     token = _token(text, i)
+    if "." in token and (lost := _LOST_BLANK.match(token)):
+        token = token[lost.end() :]
     low = token.lower()
+    if low[:1].isalpha() and not low.isalpha() and low.isalnum():
+        low = low.replace("1", "l").replace("0", "o")  # as misread by text recognition
     letters = [x for x in token if _class(x) in "Ulo"]
     if len(letters) < 2 or _class(prev) not in "lo" or low in GO_ON or low in MAY_END or "." in low:
         return None
