@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from peptrail.functions.peptides import composition_key, strip_peptides
 from peptrail.operators.competition import best_per_group
 
-#: Proteins up to which grouping runs on the driver, in its exact greedy order.
-DRIVER_PROTEINS = 100_000
+#: Pairs of protein and peptide up to which grouping runs on the driver, in its exact greedy order.
+DRIVER_PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -47,38 +47,64 @@ def greedy_groups(peptides: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
     return {p: tuple(sorted(g)) for p, g in out.items()}
 
 
+def equal_sets(peptides: DataFrame) -> DataFrame:
+    """(protein, twin, n): the first protein, by name, that has exactly the same peptides, and their number.
+
+    Sets are compared by their size and two sums of 64-bit hashes, so members of a large class of equal proteins never meet in pairs.
+    """
+    h = lambda seed: F.sum(F.xxhash64("peptide", F.lit(seed)).cast("decimal(38,0)"))
+    prints = peptides.distinct().groupBy("protein").agg(F.count(F.lit(1)).alias("n"), h(1).alias("h1"), h(2).alias("h2"))
+    first = prints.groupBy("n", "h1", "h2").agg(F.min("protein").alias("twin"))
+    return prints.join(first, ["n", "h1", "h2"]).select("protein", "twin", "n")
+
+
+def parents_of_sets(peptides: DataFrame, twins: DataFrame) -> DataFrame:
+    """(protein, parent): among proteins of different sets, those whose peptides are all peptides of a larger one.
+
+    Only proteins that have a protein's rarest peptide can be its parents; the others of its peptides are then counted.
+    """
+    sets = peptides.distinct().join(twins.where("protein = twin").select("protein", "n"), "protein")
+    spread = sets.groupBy("peptide").agg(F.count(F.lit(1)).alias("f"))
+    rare = sets.join(spread, "peptide").groupBy("protein", "n").agg(F.min_by("peptide", F.struct("f", "peptide")).alias("peptide"))
+    holders = sets.select("peptide", F.col("protein").alias("parent"), F.col("n").alias("m"))
+    candidates = rare.join(holders, "peptide").where("m > n").select("protein", "n", "parent")
+    asked = candidates.join(sets.select("protein", "peptide"), "protein")
+    has = asked.join(peptides.distinct().select(F.col("protein").alias("parent"), "peptide"), ["parent", "peptide"])
+    return has.groupBy("protein", "n", "parent").agg(F.count(F.lit(1)).alias("s")).where("s = n").select("protein", "parent")
+
+
 def contained_proteins(peptides: DataFrame) -> DataFrame:
-    """(protein, parent): pairs where all peptides of a protein are among those of another one with more, or equal and a smaller name.
+    """(protein, n_peptides, twin, parent): of each protein its class of equals and the largest protein that has all its peptides and more.
 
-    A join on peptides with counts, for any number of proteins. Peptides of very many proteins are salted by Spark's skew join.
+    One row a protein; ``twin`` is the first of its equals (itself, if it has none), ``parent`` null if there is none; among parents of
+    equal size the first by name. Repeated pairs count once.
     """
-    sets = peptides.distinct()
-    sizes = sets.groupBy("protein").agg(F.count(F.lit(1)).alias("n"))
-    sized = sets.join(sizes, "protein")
-    a = sized.select("peptide", F.col("protein").alias("protein"), F.col("n").alias("n"))
-    b = sized.select("peptide", F.col("protein").alias("parent"), F.col("n").alias("m"))
-    smaller = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("parent") < F.col("protein")))
-    shared = a.join(b, "peptide").where((F.col("protein") != F.col("parent")) & smaller).groupBy("protein", "n", "parent").agg(F.count(F.lit(1)).alias("s"))
-    return shared.where("s = n").select("protein", "parent")
+    twins = equal_sets(peptides)
+    sizes = twins.select(F.col("protein").alias("parent"), F.col("n").alias("m"))
+    # the largest, then the first by name
+    ranked = parents_of_sets(peptides, twins).join(sizes, "parent").groupBy("protein").agg(F.min_by("parent", F.struct(-F.col("m"), "parent")).alias("parent"))
+    return twins.join(ranked.withColumnRenamed("protein", "twin"), "twin", "left").select("protein", F.col("n").alias("n_peptides"), "twin", "parent")
 
 
 def group_proteins(peptides: DataFrame, decoy_prefix: str = "decoy_", has_decoys: bool = True) -> ProteinTables:
     """Groups of proteins that the peptides can't tell apart, from (protein, peptide).
 
-    Up to DRIVER_PROTEINS proteins (a count decides) the greedy order is followed exactly on the driver. Beyond that each protein joins
-    those of its parents that have no parent themselves, which is the same but for chains through equal sets.
+    Up to DRIVER_PAIRS pairs (a count that stops there decides) the greedy order is followed exactly on the driver. Beyond that each
+    protein joins those of its parents that have no parent themselves, which differs only where a parent was merged into several groups.
     """
     spark = peptides.sparkSession
-    many = peptides.select("protein").distinct().limit(DRIVER_PROTEINS + 1).count() > DRIVER_PROTEINS
-    if many:
-        inside = contained_proteins(peptides)
-        free = peptides.select("protein").distinct().join(inside.select("protein").distinct(), "protein", "left_anti")
-        members = inside.join(free.select(F.col("protein").alias("parent")), "parent").unionByName(free.select(F.col("protein").alias("parent"), "protein"))
+    peptides = peptides.select("protein", "peptide").distinct()
+    if peptides.limit(DRIVER_PAIRS + 1).count() > DRIVER_PAIRS:
+        twins = equal_sets(peptides)
+        inside = parents_of_sets(peptides, twins)
+        free = twins.where("protein = twin").select("protein").join(inside.select("protein").distinct(), "protein", "left_anti").select(F.col("protein").alias("parent"))
+        roots = inside.join(free, "parent").unionByName(free.select("parent", F.col("parent").alias("protein")))
+        members = twins.select("protein", "twin").join(roots.withColumnRenamed("protein", "twin"), "twin").select("parent", "protein")
         names = members.groupBy("parent").agg(F.concat_ws(", ", F.concat(F.array("parent"), F.array_sort(F.filter(F.collect_set("protein"), lambda p: p != F.col("parent"))))).alias("protein_group"))
         of = members.join(names, "parent").select("protein", "protein_group")
     else:
         sets: dict[str, set[str]] = {}
-        for r in peptides.distinct().toLocalIterator():
+        for r in peptides.collect():
             sets.setdefault(r["protein"], set()).add(r["peptide"])
         rows = [(p, g) for p, gs in greedy_groups(sets).items() for g in gs]
         of = spark.createDataFrame(rows, "protein string, protein_group string")
@@ -114,8 +140,10 @@ def picked_proteins(psms: DataFrame, proteins: ProteinTables, peptide: str, scor
     Peptides that belong to no single group are left out; shared ones are expected, but if more than 10 % of the others can't be matched a
     ValueError says so. Without decoys in the database, decoy peptides are matched to targets with the same residues.
     """
-    bare = strip_peptides(psms, peptide)
     seq = "stripped_sequence"
+    every = strip_peptides(psms, peptide)
+    # the best of a pair is the best of its sequences' best rows, so a hot peptide is one row before any join
+    bare = best_per_group(every, [seq, target], score, None, [row_id])
     by_target = bare.join(proteins.peptide_map.withColumnRenamed("peptide", seq), seq, "left")
     if not proteins.has_decoys:
         found = match_decoys(bare.where(~F.col(target)).select(F.col(seq).alias("peptide")), proteins.peptide_map)
@@ -123,9 +151,11 @@ def picked_proteins(psms: DataFrame, proteins: ProteinTables, peptide: str, scor
         decoy_map = found.join(proteins.peptide_map.withColumnRenamed("peptide", "target"), "target").select(F.col("decoy").alias(seq), prefixed.alias("_decoy_group"))
         by_target = by_target.join(decoy_map, seq, "left").withColumn("protein_group", F.when(F.col(target), F.col("protein_group")).otherwise(F.col("_decoy_group"))).drop("_decoy_group")
     if check:
-        lost = by_target.where(F.col("protein_group").isNull()).join(proteins.shared.withColumnRenamed("peptide", seq), seq, "left_anti").count()
+        unknown = by_target.where(F.col("protein_group").isNull()).join(proteins.shared.withColumnRenamed("peptide", seq), seq, "left_anti").select(seq, target)
+        rows = every.groupBy(seq, target).agg(F.count(F.lit(1)).alias("_n"))
+        lost = rows.join(unknown, [seq, target], "left_semi").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         if lost > 0.1 * max(1, psms.count()):
-            raise ValueError(f"{lost} peptides are in no protein of the database; was it digested like the spectra's sample?")
+            raise ValueError(f"{lost} rows' peptides are in no protein of the database; was it digested like the spectra's sample?")
     known = by_target.where(F.col("protein_group").isNotNull())
     first = _first_protein(F.col("protein_group"))
     pair = F.when(first.startswith(proteins.decoy_prefix), F.substring(first, F.lit(len(proteins.decoy_prefix) + 1), F.length(first))).otherwise(first)

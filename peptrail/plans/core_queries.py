@@ -414,9 +414,10 @@ ORACLES = {
         SELECT DISTINCT row_id, peptide FROM w WHERE length(peptide) BETWEEN 4 AND 40""",
     "fasta_export": f"SELECT '>' || row_id || chr(10) || trim({_BARE}, '-') AS value FROM psms WHERE peptide IS NOT NULL",
     "protein_groups_unique_shared": f"SELECT peptide, count(*) = 1 AS unique_peptide, count(*)::BIGINT AS n_proteins, min(protein) AS first_protein FROM ({MATCH_SQL}) GROUP BY peptide",
-    "protein_containment": """WITH m AS (SELECT DISTINCT o_custkey::VARCHAR AS protein, o_orderpriority || '-' || (o_custkey % 7) AS peptide FROM orders), n AS (SELECT protein, count(*) AS n FROM m GROUP BY 1)
-        SELECT a.protein, b.protein AS parent FROM m a JOIN m b ON a.peptide = b.peptide AND a.protein <> b.protein JOIN n x ON x.protein = a.protein JOIN n y ON y.protein = b.protein
-        WHERE y.n > x.n OR (y.n = x.n AND b.protein < a.protein) GROUP BY a.protein, b.protein, x.n HAVING count(*) = x.n""",
+    "protein_containment": """WITH m AS (SELECT DISTINCT o_custkey::VARCHAR AS protein, o_orderpriority || '-' || (o_custkey % 7) AS peptide FROM orders), n AS (SELECT protein, list(peptide ORDER BY peptide) AS p, count(*) AS n FROM m GROUP BY 1),
+        t AS (SELECT protein, n, p, min(protein) OVER (PARTITION BY p) AS twin FROM n), u AS (SELECT DISTINCT twin, n, p FROM t),
+        k AS (SELECT a.twin, b.twin AS parent, b.n AS m FROM u a JOIN u b ON b.n > a.n AND list_has_all(b.p, a.p)), r AS (SELECT twin, parent FROM (SELECT *, row_number() OVER (PARTITION BY twin ORDER BY m DESC, parent) AS rn FROM k) WHERE rn = 1)
+        SELECT protein, n::BIGINT AS n_peptides, twin, parent FROM t LEFT JOIN r USING (twin)""",
     "decoy_matching": """WITH p AS (SELECT DISTINCT o_orderkey % 2 = 0 AS target, o_custkey::VARCHAR AS peptide FROM orders), r AS (SELECT target, peptide, array_to_string(list_sort(string_split(peptide, '')), '') AS k FROM p),
         n AS (SELECT *, row_number() OVER (PARTITION BY target, k ORDER BY peptide) AS rn FROM r) SELECT d.peptide AS decoy, t.peptide AS target FROM n d JOIN n t ON d.k = t.k AND d.rn = t.rn AND NOT d.target AND t.target""",
     "picked_protein": """SELECT l_suppkey, target, score, id FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, target ASC, id) AS rn FROM

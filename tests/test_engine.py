@@ -16,6 +16,7 @@ from peptrail.functions import search_features as sf
 from peptrail.learn.brew import LinearModel, best_features, brew, brew_joint, load_models, save_models
 from peptrail.learn.svm import fit_local
 from peptrail.operators import competition as comp
+from peptrail.operators import proteins
 from peptrail.operators.proteins import contained_proteins, greedy_groups, group_proteins, match_decoys, picked_proteins
 from peptrail.roles import infer_roles
 from peptrail.sinks.writers import fasta_lines, output_path, to_flashlfq, write_sqlite, write_table
@@ -140,12 +141,15 @@ def test_folds_and_samples(spark):
     assert [r["count"] for r in s.groupBy("part").count().collect()] == [100, 100] and s.distinct().count() == 200
 
 
-def test_proteins(spark, tmp_path):
+def test_proteins(spark, tmp_path, monkeypatch):
     groups = greedy_groups({"a": {"1", "2", "3"}, "b": {"1", "2"}, "c": {"3", "4"}, "d": {"1", "2", "3"}, "e": {"9"}})
     assert groups["a"] == groups["d"] == ("a, d, b",)
     m = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "2"), ("c", "3")], "protein string, peptide string")
-    assert {tuple(r) for r in contained_proteins(m).collect()} == {("b", "a")}
+    more = m.union(spark.createDataFrame([("a2", "1"), ("a2", "2"), ("a2", "2")], m.schema))
+    assert {tuple(r) for r in contained_proteins(more).collect()} == {("a", 2, "a", None), ("a2", 2, "a", None), ("b", 1, "b", "a"), ("c", 2, "c", None)}
     t = group_proteins(m)
+    monkeypatch.setattr(proteins, "DRIVER_PAIRS", 1)
+    assert sorted(map(tuple, group_proteins(m).peptide_map.collect())) == sorted(map(tuple, t.peptide_map.collect()))
     assert {tuple(r) for r in t.peptide_map.collect()} == {("1", "a, b"), ("3", "c")} and {tuple(r) for r in t.shared.collect()} == {("2", "a, b; c")}
     d = spark.createDataFrame([("ABC",), ("CAB",), ("XY",)], ["peptide"])
     g = spark.createDataFrame([("BCA",), ("ACB",), ("ZZ",)], ["peptide"])
