@@ -9,6 +9,7 @@ persisted table of features, for all folds at once.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import json
 import logging
 from dataclasses import asdict, dataclass
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from peptrail.dataset import ROW_ID, PsmDataset
+from peptrail.learn.estimators import Estimator, train_fold
 from peptrail.learn.svm import Problem, margin_terms, newton, sum_arrays
 from peptrail.operators.competition import fold_split, training_sample
 from peptrail.operators.qvalues import tdc_table
@@ -105,11 +107,13 @@ class BrewResult:
 def brew(
     dataset: PsmDataset, train_fdr: float = 0.01, test_fdr: float = 0.01, folds: int = 3, max_iter: int = 10, seed: int = 1, direction: str | None = None,
     override: bool = False, subset_max_train: int | None = None, ensemble: bool = False, search: bool = True, models: list[LinearModel] | None = None,
+    start_model: LinearModel | None = None, estimator: Estimator | None = None,
 ) -> BrewResult:
     """Scores by models that never saw the rows they score.
 
     ``direction``: the feature to start from; ``override``: keep models that accept no more than the best feature; ``models``: trained
-    before, one a fold, used as they are. If a fold's model fails, or the models accept fewer targets than the best single feature, that
+    before, one a fold, used as they are; ``start_model``: one to start from, which stays in use for a fold whose training accepts fewer;
+    ``estimator``: another kind of model (see estimators), fitted fold by fold. If a fold's model fails, or the models accept fewer targets than the best single feature, that
     feature is the score (negated if lower is better). RuntimeError if no feature accepts any target.
     """
     roles = dataset.roles
@@ -117,13 +121,13 @@ def brew(
     if not feats:
         raise ValueError("the dataset has no features")
     df = fold_split(dataset.df, list(roles.spectrum), folds).persist(StorageLevel.MEMORY_AND_DISK)
-    slim = df.select(ROW_ID, y, "fold", F.abs(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in roles.spectrum]) % CV_PARTS).cast("int").alias("cv"), *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(feats)])
+    slim = df.select(ROW_ID, y, "fold", F.abs(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in roles.spectrum]) % CV_PARTS).cast("int").alias("cv"), *[F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
     train_rows = slim if subset_max_train is None else training_sample(slim, ["fold"], ROW_ID, max(1, subset_max_train // max(1, folds - 1)), seed)
     train_rows = train_rows.persist(StorageLevel.MEMORY_AND_DISK)
     train_rows.count()  # from here on its size is known
     ks = list(range(folds))
     d = len(feats)
-    names = [f"f{i}" for i in range(d)]
+    names = [f"_x{i}" for i in range(d)]
 
     def by_model(rows: DataFrame) -> DataFrame:
         """Each row once for every model that learns from it."""
@@ -133,7 +137,7 @@ def brew(
         found = best_features(by_model(train_rows), names, y, train_fdr, ["k"]).collect()
         best = {r["k"]: r for r in found}
         overall = max(found, key=lambda r: r["passing"])
-        feature = feats[int(overall["feature"][1:])]
+        feature = feats[int(overall["feature"][2:])]
         if direction is not None and direction not in feats:
             raise ValueError(f"no feature {direction}")
         if overall["passing"] == 0 and models is None:
@@ -143,8 +147,10 @@ def brew(
             if len(models) not in (1, folds):
                 raise ValueError("as many models as folds are needed")
             trained = {k: models[k % len(models)] for k in ks}
+        elif estimator is not None:
+            return _brew_estimator(estimator, df, train_rows, best, overall, feats, names, y, train_fdr, test_fdr, max_iter, override, ensemble, ks)
         else:
-            trained = _train(train_rows, by_model, best, feats, names, y, train_fdr, max_iter, direction, override, search, ks)
+            trained = _train(train_rows, by_model, best, feats, names, y, train_fdr, max_iter, direction, override, search, ks, start_model)
         whole = [m for m in trained.values() if m is not None]
         scored, passing = None, -1
         if len(whole) == folds:
@@ -166,6 +172,35 @@ def brew(
         train_rows.unpersist()
 
 
+def _brew_estimator(estimator, df, rows, best, overall, feats, names, y, train_fdr, test_fdr, max_iter, override, ensemble, ks) -> BrewResult:  # noqa: ANN001
+    """As ``brew``, with a model of any kind: each fold is trained and scored by itself."""
+    feature = feats[int(overall["feature"][2:])]
+    scorers = {}
+    for k in ks:
+        r = best[k]
+        if r["threshold"] is None:
+            continue
+        scorer, passing = train_fold(rows.where(F.col("fold") != k), estimator, names, y, (r["feature"], r["descending"], r["threshold"]), train_fdr, max_iter)
+        if scorer is not None and (override or passing > r["passing"]):
+            scorers[k] = scorer
+    named = df.select("*", *[F.col(f"`{f}`").cast("double").alias(n) for f, n in zip(feats, names)])
+    passing = -1
+    if len(scorers) == len(ks):
+        if ensemble:
+            for k in ks:
+                named = scorers[k].score(named, f"_score{k}")
+            scored = named.withColumn("score", sum([F.col(f"_score{k}") for k in ks], F.lit(0.0)) / len(ks)).drop(*[f"_score{k}" for k in ks])
+        else:
+            parts = [scorers[k].score(named.where(F.col("fold") == k), "score") for k in ks]
+            scored = calibrate(functools.reduce(DataFrame.unionByName, parts), "score", y, "fold", test_fdr)
+        scored = scored.drop(*names)
+        passing = accepted(tdc_table(scored, "score", y), [], test_fdr).first()["passing"]
+        if override or overall["passing"] <= passing:
+            return BrewResult(scored, [], "model", feature, overall["passing"], passing)
+    value = F.col(f"`{feature}`").cast("double")
+    return BrewResult(df.withColumn("score", value if overall["descending"] else -value), [], "feature", feature, overall["passing"], passing)
+
+
 def calibrate(df: DataFrame, score: str, target: str, fold: str, fdr: float) -> DataFrame:
     """Scores of each fold shifted and scaled: the worst accepted target is at 0, the decoys' median at -1.
 
@@ -185,8 +220,8 @@ def calibrate(df: DataFrame, score: str, target: str, fold: str, fdr: float) ->
     return df.withColumn(score, out)
 
 
-def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, override, search, ks) -> dict[int, LinearModel | None]:  # noqa: ANN001
-    """A model of each fold, or None where it isn't better than the best feature."""
+def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, override, search, ks, start_model=None) -> dict[int, LinearModel | None]:  # noqa: ANN001
+    """A model of each fold, or None where it isn't better than the best feature (the start model, if there is one)."""
     d = len(feats)
     sums = sum_arrays(rows, lambda b: _moments(b, names, ks), len(ks) * (2 * d + 1)).reshape(len(ks), 2 * d + 1)
     scale = {}
@@ -202,16 +237,25 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
         r = best[k]
         if direction is not None:
             i = feats.index(direction)
-            r = best_features(by_model(rows).where(F.col("k") == k), [f"f{i}"], y, fdr).first()
+            r = best_features(by_model(rows).where(F.col("k") == k), [f"_x{i}"], y, fdr).first()
         if r["threshold"] is None:
             start[k] = None
             continue
         w = np.zeros(d + 1)
-        i = int(r["feature"][1:])
+        i = int(r["feature"][2:])
         w[i] = 1.0 if r["descending"] else -1.0
         start[k] = (w, r["threshold"])
-    live = {k for k in ks if start[k] is not None}
     first_pass = {k: int(best[k]["passing"]) for k in ks}
+    if start_model is not None:
+        if set(start_model.features) != set(feats):
+            raise ValueError("the start model has other features")
+        of = dict(zip(start_model.features, zip(start_model.weights, start_model.sd)))
+        raw_weights = np.array([of[f][0] / of[f][1] for f in feats])
+        told = sum([F.col(n) * float(w) for n, w in zip(names, raw_weights)], F.lit(0.0))
+        for r in accepted(tdc_table(by_model(rows).withColumn("_score", told), "_score", y, True, ["k"]), ["k"], fdr).collect():
+            first_pass[r["k"]] = int(r["passing"])
+            start[r["k"]] = None if r["threshold"] is None else (np.append(raw_weights, 0.0), r["threshold"])
+    live = {k for k in ks if start[k] is not None}
 
     def labelled(b: pd.DataFrame, k: int, rule: tuple[np.ndarray, float], raw: bool):  # noqa: ANN202
         x = b[names].to_numpy(float)
@@ -293,6 +337,8 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
         better = k in live and k in current and (override or passing[k] > first_pass[k])
         mean, sd = scale[k]
         out[k] = LinearModel(tuple(feats), tuple(map(float, mean)), tuple(map(float, sd)), tuple(map(float, current[k][:-1])), float(current[k][-1]), k) if better else None
+        if out[k] is None and start_model is not None:
+            out[k] = dataclasses.replace(start_model, fold=k)
         log.info("fold %d: %d accepted, best feature %d", k, passing[k], first_pass[k])
     return out
 

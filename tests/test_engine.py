@@ -284,3 +284,18 @@ def test_joint(spark, pin):
     assert x.scored.count() == 1500 and y.scored.count() == 600
     with pytest.raises(ValueError):
         brew_joint([a, PsmDataset.of(b.df.drop("f3", "_row_id").withColumn("Label", F.when(F.col("Label"), 1).otherwise(-1)))])
+
+
+def test_other_estimators_and_start_models(spark, pin):
+    from pyspark.ml.classification import LogisticRegression
+
+    from peptrail.learn.estimators import MLlibEstimator
+
+    (ds,) = read_pin(spark, pin)
+    r = brew(ds, 0.05, 0.05, max_iter=1, estimator=MLlibEstimator(LogisticRegression(maxIter=20)))
+    assert r.used == "model" and r.scored.count() == 1500 and set(r.scored.columns) >= {"score", "fold", "f1"}
+    good = LinearModel(("f1", "f2", "f3"), (0.0,) * 3, (1.0,) * 3, (1.0, -1.0, 0.0), 0.0)
+    started = brew(ds, 0.05, 0.05, max_iter=1, search=False, start_model=good)
+    assert len(started.models) == 3 and started.used == "model"
+    with pytest.raises(ValueError):
+        brew(ds, start_model=LinearModel(("x",), (0.0,), (1.0,), (1.0,), 0.0))
