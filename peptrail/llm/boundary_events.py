@@ -42,7 +42,7 @@ MAY_END = frozenset(
 )
 # Words before a number that make it an ordinal where a capital follows ("im 17. Kapitel").
 BEFORE_ORDINAL = frozenset("der die das dem den des im am vom zum zur beim ins einer eines einem".split())
-# Words that a number and a period follow within a sentence ("Version 6.", "pH 7.").
+# Signs behind which a single letter is part of a formula, not an initial.
 _OPERATORS = "+-=/*·×→←<>≤≥|^_\\"
 
 # Where an event may be: a line's end, a terminator, a bracket or quote; but no period within a number or an abbreviation, before a lower-case
