@@ -15,8 +15,6 @@ ENZYMES = {
     "trypsin": "[KR](?!P)", "trypsin/p": "[KR]", "lysc": "[K](?!P)", "lysc/p": "K", "argc": "R(?!P)", "aspn": ".(?=D)", "gluc": "[DE](?!P)",
     "chymotrypsin": "[FWYL](?!P)", "cnbr": "M", "pepsin": "[FL](?!P)",
 }
-#: One-letter codes of the residues that decoys are made of.
-RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def bare_peptide(c: Column) -> Column:

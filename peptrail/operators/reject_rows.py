@@ -52,37 +52,42 @@ def _fit(d: DataFrame) -> Column:
     return (n >= width) & ((n == width) | (F.col("suffix") == "pin"))
 
 
-def _exploded(d: DataFrame, *more: str) -> DataFrame:
-    """(line_id, file_id, no, name, value, role, + more): the cells of lines that fit their header; surplus fields belong to the last."""
+def _exploded(d: DataFrame) -> DataFrame:
+    """(line_id, file_id, no, name, value, role): the cells of lines that fit their header; surplus fields belong to the last."""
     width = F.size("header")
     rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")
     values = F.concat(F.slice("cells", 1, width - 1), F.array(rest))
-    cells = d.where(F.col("cells").isNotNull() & _fit(d)).select("line_id", "file_id", *more, width.alias("width"), F.posexplode(F.arrays_zip(F.col("header").alias("name"), values.alias("value"))).alias("no", "c"))
-    cells = cells.select("line_id", "file_id", *more, "no", "width", F.col("c.name").alias("name"), F.col("c.value").alias("value"))
+    cells = d.where(F.col("cells").isNotNull() & _fit(d)).select("line_id", "file_id", width.alias("width"), F.posexplode(F.arrays_zip(F.col("header").alias("name"), values.alias("value"))).alias("no", "c"))
+    cells = cells.select("line_id", "file_id", "no", "width", F.col("c.name").alias("name"), F.col("c.value").alias("value"))
     return cells.withColumn("role", role_of(F.col("no"), F.col("name"), F.col("width"))).drop("width")
 
 
-def text_columns(data: DataFrame) -> DataFrame:
-    """(file_id, text_columns): the features (by place) that are text in their file, of files that have any.
+def text_features(cells: DataFrame) -> DataFrame:
+    """(file_id, no): the features (by place) that are text in their file.
 
     A feature is text if more than half of its non-empty values, over all lines that fit the header, are no numbers: single bad values
     don't turn a number column into text.
     """
-    cells = _exploded(data).where((F.col("role") == "feature") & (F.col("value") != ""))
+    values = cells.where((F.col("role") == "feature") & (F.col("value") != ""))
     bad = F.sum(F.when(is_number(F.col("value")), 0).otherwise(1))
-    text = cells.groupBy("file_id", "no").agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).where("2 * bad > n")
-    # as many entries as a header has columns
-    return text.groupBy("file_id").agg(F.collect_list("no").alias("text_columns"))
+    return values.groupBy("file_id", "no").agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).where("2 * bad > n").select("file_id", "no")
 
 
 def errors(data: DataFrame) -> DataFrame:
-    """(line_id, reason): each failing line of ``data`` once, with the first reason that holds."""
+    """(line_id, reason): each failing line of ``data`` once, with the first reason that holds.
+
+    Only cells that fail their check are joined with the text features, for which a word is no failure.
+    """
     rules = F.broadcast(data.sparkSession.createDataFrame(list(RULES), "role string, check string"))
-    cells = _exploded(data, "text_columns").where((F.col("role") != "feature") | ~F.array_contains("text_columns", F.col("no")))
-    wrong = cells.join(rules, "role").where(~holds(F.col("check"), F.col("value"))).select("line_id", F.lit(2).alias("rank"))
+    cells = _exploded(data)
+    wrong = cells.join(rules, "role").where(~holds(F.col("check"), F.col("value"))).select("line_id", "file_id", "no", "role")
+    place = F.concat_ws("-", "file_id", "no")
+    words = join_skewed(wrong.where("role = 'feature'").select("line_id", place.alias("place")), text_features(cells).select(place.alias("place"), F.lit(True).alias("text")), "place", "line_id")
+    invalid = wrong.where("role <> 'feature'").select("line_id").unionByName(words.where("text is null").select("line_id"))
     structure = data.where(F.col("cells").isNull() | ~_fit(data)).select("line_id", F.when(F.col("cells").isNull(), 0).otherwise(1).alias("rank"))
     reasons = F.array(*map(F.lit, REASONS))
-    return structure.unionByName(wrong).groupBy("line_id").agg(F.element_at(reasons, F.min("rank") + 1).alias("reason"))
+    every = structure.unionByName(invalid.withColumn("rank", F.lit(2)))
+    return every.groupBy("line_id").agg(F.element_at(reasons, F.min("rank") + 1).alias("reason"))
 
 
 def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,9 +98,7 @@ def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
     lines, comments, DefaultDirection rows and repeats of a header are neither. Empty tables give empty tables; repeated lines count each
     time; a line of unbounded length is one cell row at a time. Files that hold most lines are salted (see join_skewed).
     """
-    parsed = cut_lineage(data_lines(lines, headers(lines, files)))  # lines are parsed once, whatever is asked of them
-    texts = text_columns(parsed)
-    data = join_skewed(parsed, texts, "file_id", "line_id").withColumn("text_columns", F.coalesce("text_columns", F.array().cast("array<int>")))
+    data = cut_lineage(data_lines(lines, headers(lines, files)))  # lines are parsed once, whatever is asked of them
     rejected = errors(data)
     width = F.size("header")
     rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")

@@ -1,15 +1,10 @@
-"""Session helpers: a tuned local session, lineage cuts that survive executor loss, and size checks before a broadcast."""
+"""Session helpers: a tuned local session, lineage cuts that survive executor loss, and sizes of plans."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: No side larger than this many rows is ever broadcast by an operator of this package.
-BROADCAST_ROWS = 50_000
-
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -63,8 +58,3 @@ def reduce_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for a reduction over df: the session's shuffle partitions, more where the input is known to be large."""
     n, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
     return n if size >= UNKNOWN_BYTES else max(n, min(20_000, size // bytes_each))
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df only if a count that stops at the bound shows that it fits; else leave the join to Spark's own planning."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
