@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.operators.skew import join_skewed
 from peptrail.session import cut_lineage
 from peptrail.sources.pin_lines import data_lines, headers
 
@@ -16,6 +15,8 @@ REASONS = ("broken_quote", "column_count", "invalid_value")
 # Fixed values: (role, check) of the rule table; a cell fails if its check does.
 RULES = (("identifier", "token"), ("proteins", "present"), ("label", "sign"), ("scannr", "unsigned"), ("expmass", "positive"), ("feature", "number"))
 
+#: Shares of a feature's failing cells in the join with the text features, of which there is one row a column of a file.
+SALTS = 16
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 WHOLE = r"^[+-]?[0-9]+$"
 
@@ -81,9 +82,9 @@ def errors(data: DataFrame) -> DataFrame:
     rules = F.broadcast(data.sparkSession.createDataFrame(list(RULES), "role string, check string"))
     cells = _exploded(data)
     wrong = cells.join(rules, "role").where(~holds(F.col("check"), F.col("value"))).select("line_id", "file_id", "no", "role")
-    place = F.concat_ws("-", "file_id", "no")
-    words = join_skewed(wrong.where("role = 'feature'").select("line_id", place.alias("place")), text_features(cells).select(place.alias("place"), F.lit(True).alias("text")), "place", "line_id")
-    invalid = wrong.where("role <> 'feature'").select("line_id").unionByName(words.where("text is null").select("line_id"))
+    salted = wrong.withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)))
+    words = text_features(cells).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).withColumn("text", F.lit(True))
+    invalid = salted.join(words, ["file_id", "no", "salt"], "left").where("role <> 'feature' or text is null").select("line_id")
     structure = data.where(F.col("cells").isNull() | ~_fit(data)).select("line_id", F.when(F.col("cells").isNull(), 0).otherwise(1).alias("rank"))
     reasons = F.array(*map(F.lit, REASONS))
     every = structure.unionByName(invalid.withColumn("rank", F.lit(2)))
