@@ -13,6 +13,7 @@ from peptrail.operators.competition import psm_competition, rollup
 from peptrail.operators.peps import peps
 from peptrail.operators.proteins import ProteinTables, picked_proteins
 from peptrail.operators.qvalues import qvalues
+from peptrail.session import cut_lineage
 from peptrail.sinks.writers import output_columns, write_sqlite, write_target_decoy
 from peptrail.streaming.histogram_confidence import histogram_confidence
 
@@ -66,11 +67,12 @@ def assign_confidence(
     elif score != "score":
         df = df.withColumn("score", F.col(f"`{score}`").cast("double"))
     y = roles.target
-    psms = psm_competition(df, list(roles.spectrum), "score", y, ROW_ID, deduplication)
+    # every level and each estimate reads the winners: they are made once
+    psms = cut_lineage(psm_competition(df, list(roles.spectrum), "score", y, ROW_ID, deduplication))
     tables = {"psms": psms}
     if do_rollup:
         keys = {"peptides": [roles.peptide]} | {LEVEL_NAMES[c.lower()]: [c] for c in roles.levels}
-        rolled = rollup(psms, keys, "score", y, ROW_ID)
+        rolled = cut_lineage(rollup(psms, keys, "score", y, ROW_ID))
         tables |= {name: rolled.where(F.col("level") == name).drop("level") for name in keys}
     if proteins is not None:
         tables["proteins"] = picked_proteins(psms, proteins, roles.peptide, "score", y, ROW_ID)

@@ -31,9 +31,14 @@ GRID = tuple((p, n) for p in (0.1, 1.0, 10.0) for n in (0.1, 1.0, 10.0))
 CV_PARTS = 3
 
 
+def _standard(x: Column, mean: float, sd: float) -> Column:
+    z = (x - mean) / sd
+    return F.when(z.isNull() | F.isnan(z), 0.0).otherwise(z)
+
+
 @dataclass(frozen=True)
 class LinearModel:
-    """Standardise (mean, sd), multiply, add: a score is a pure column expression."""
+    """Standardise (mean, sd), multiply, add: a score is a pure column expression. A missing value counts as the mean."""
 
     features: tuple[str, ...]
     mean: tuple[float, ...]
@@ -43,7 +48,7 @@ class LinearModel:
     fold: int = 0
 
     def score(self) -> Column:
-        terms = [(F.col(f"`{f}`").cast("double") - m) / s * w for f, m, s, w in zip(self.features, self.mean, self.sd, self.weights) if w]
+        terms = [_standard(F.col(f"`{f}`").cast("double"), m, s) * w for f, m, s, w in zip(self.features, self.mean, self.sd, self.weights) if w]
         return sum(terms, F.lit(self.bias))
 
     def report(self) -> list[tuple[str, float]]:
@@ -223,12 +228,13 @@ def calibrate(df: DataFrame, score: str, target: str, fold: str, fdr: float) ->
 def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, override, search, ks, start_model=None) -> dict[int, LinearModel | None]:  # noqa: ANN001
     """A model of each fold, or None where it isn't better than the best feature (the start model, if there is one)."""
     d = len(feats)
-    sums = sum_arrays(rows, lambda b: _moments(b, names, ks), len(ks) * (2 * d + 1)).reshape(len(ks), 2 * d + 1)
+    sums = sum_arrays(rows, lambda b: _moments(b, names, ks), len(ks) * 3 * d).reshape(len(ks), 3 * d)
     scale = {}
     for k in ks:
-        n, s, q = np.split(sums.sum(0) - sums[k], [1, 1 + d])
-        mean = s / max(n[0], 1)
-        sd = np.sqrt(np.maximum(q / max(n[0], 1) - mean**2, 0))
+        n, s, q = np.split(sums.sum(0) - sums[k], 3)
+        n = np.maximum(n, 1)
+        mean = s / n
+        sd = np.sqrt(np.maximum(q / n - mean**2, 0))
         scale[k] = (mean, np.where(sd > 1e-12, sd, 1.0))
 
     # a labelling: column number or weights, direction, threshold
@@ -261,7 +267,12 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
         x = b[names].to_numpy(float)
         mean, sd = scale[k]
         z = (x - mean) / sd
-        score = x @ rule[0][:-1] if raw else z @ rule[0][:-1] + rule[0][-1]
+        if raw:  # a null score accepts nothing
+            used = rule[0][:-1] != 0
+            score = x[:, used] @ rule[0][:-1][used]
+        z = np.where(np.isnan(z), 0.0, z)
+        if not raw:
+            score = z @ rule[0][:-1] + rule[0][-1]
         t = b[y].to_numpy(bool)
         label = np.where(~t, -1, np.where(score.astype(np.float32) >= np.float32(rule[1]), 1, 0))
         on = (label != 0) & (b["fold"].to_numpy() != k)
@@ -344,12 +355,13 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
 
 
 def _moments(b: pd.DataFrame, names: list[str], ks: list[int]) -> np.ndarray:
+    """Of each fold the number, sum and sum of squares of each feature's values."""
     x, fold = b[names].to_numpy(float), b["fold"].to_numpy()
-    return np.concatenate([np.concatenate([[np.sum(fold == k)], x[fold == k].sum(0), (x[fold == k] ** 2).sum(0)]) for k in ks])
+    return np.concatenate([np.concatenate([np.sum(~np.isnan(x[fold == k]), 0), np.nansum(x[fold == k], 0), np.nansum(x[fold == k] ** 2, 0)]) for k in ks])
 
 
 def _expression(w: np.ndarray, scale: tuple[np.ndarray, np.ndarray], names: list[str]) -> Column:
-    terms = [(F.col(n) - float(m)) / float(s) * float(a) for n, m, s, a in zip(names, *scale, w[:-1])]
+    terms = [_standard(F.col(n), float(m), float(s)) * float(a) for n, m, s, a in zip(names, *scale, w[:-1])]
     return sum(terms, F.lit(float(w[-1])))
 
 

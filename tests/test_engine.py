@@ -299,3 +299,11 @@ def test_other_estimators_and_start_models(spark, pin):
     assert len(started.models) == 3 and started.used == "model"
     with pytest.raises(ValueError):
         brew(ds, start_model=LinearModel(("x",), (0.0,), (1.0,), (1.0,), 0.0))
+
+
+def test_missing_features(spark):
+    pdf = psm_pandas(900)
+    pdf.loc[::7, "f3"] = np.nan
+    ds = PsmDataset.of(spark.createDataFrame(pdf), drop_na_features=False)
+    r = brew(ds, 0.05, 0.05, max_iter=1, search=False)
+    assert r.used == "model" and r.scored.where("score is null or isnan(score)").count() == 0
