@@ -32,8 +32,7 @@ CV_PARTS = 3
 
 
 def _standard(x: Column, mean: float, sd: float) -> Column:
-    z = (x - mean) / sd
-    return F.when(z.isNull() | F.isnan(z), 0.0).otherwise(z)
+    return F.coalesce(F.nanvl((x - mean) / sd, F.lit(0.0)), F.lit(0.0))
 
 
 @dataclass(frozen=True)

@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, which may run anywhere; once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_peptrail_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="peptrail-package-")) / "peptrail.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._peptrail_shipped = True
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     return (
