@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peptrail.functions.peptides import composition_key, strip_peptides
 from peptrail.operators.competition import best_per_group
+from peptrail.operators.packed_values import split_packed
 
 #: Pairs of protein and peptide up to which grouping runs on the driver, in its exact greedy order.
 DRIVER_PAIRS = 1_000_000
@@ -16,18 +17,26 @@ DRIVER_PAIRS = 1_000_000
 
 @dataclass(frozen=True)
 class ProteinTables:
-    """peptide_map: (peptide, protein_group) of peptides in exactly one group; shared: (peptide, groups); pairs: (target, decoy) proteins."""
+    """unique: (peptide, protein_group, founder) of peptides in exactly one group; shared: (peptide, groups); pairs: (target, decoy) proteins.
 
-    peptide_map: DataFrame
+    ``founder`` is the group's first protein; it can't be read from ``protein_group``, as a protein's name may have a comma in it.
+    """
+
+    unique: DataFrame
     shared: DataFrame
     pairs: DataFrame
     decoy_prefix: str
     has_decoys: bool
 
+    @property
+    def peptide_map(self) -> DataFrame:
+        """(peptide, protein_group) of peptides in exactly one group."""
+        return self.unique.select("peptide", "protein_group")
 
-def greedy_groups(peptides: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
-    """Protein -> names of its groups. Proteins come by falling number of peptides, then by name; one whose peptides all lie in groups
-    that exist joins each group that has them all, else it founds a group."""
+
+def greedy_members(peptides: dict[str, set[str]]) -> dict[str, list[str]]:
+    """Founder -> members of its group, itself first. Proteins come by falling number of peptides, then by name; one whose peptides all lie
+    in groups that exist joins each group that has them all, else it founds a group."""
     groups: dict[str, list[str]] = {}
     holders: dict[str, set[str]] = {}  # peptide -> founders of the groups that have it
     for protein in sorted(peptides, key=lambda p: (-len(peptides[p]), p)):
@@ -39,6 +48,12 @@ def greedy_groups(peptides: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
             groups[protein] = [protein]
             for x in mine:
                 holders.setdefault(x, set()).add(protein)
+    return groups
+
+
+def greedy_groups(peptides: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
+    """Protein -> names of its groups, by ``greedy_members``."""
+    groups = greedy_members(peptides)
     names = {f: ", ".join(members) for f, members in groups.items()}
     out: dict[str, list[str]] = {}
     for f, members in groups.items():
@@ -101,16 +116,16 @@ def group_proteins(peptides: DataFrame, decoy_prefix: str = "decoy_", has_decoys
         roots = inside.join(free, "parent").unionByName(free.select("parent", F.col("parent").alias("protein")))
         members = twins.select("protein", "twin").join(roots.withColumnRenamed("protein", "twin"), "twin").select("parent", "protein")
         names = members.groupBy("parent").agg(F.concat_ws(", ", F.concat(F.array("parent"), F.array_sort(F.filter(F.collect_set("protein"), lambda p: p != F.col("parent"))))).alias("protein_group"))
-        of = members.join(names, "parent").select("protein", "protein_group")
+        of = members.join(names, "parent").select("protein", F.col("parent").alias("founder"), "protein_group")
     else:
         sets: dict[str, set[str]] = {}
         for r in peptides.collect():
             sets.setdefault(r["protein"], set()).add(r["peptide"])
-        rows = [(p, g) for p, gs in greedy_groups(sets).items() for g in gs]
-        of = spark.createDataFrame(rows, "protein string, protein_group string")
-    per = peptides.join(of, "protein").groupBy("peptide").agg(F.array_sort(F.collect_set("protein_group")).alias("groups"))
-    unique = per.where(F.size("groups") == 1).select("peptide", F.element_at("groups", 1).alias("protein_group"))
-    shared = per.where(F.size("groups") > 1).select("peptide", F.array_join("groups", "; ").alias("groups"))
+        rows = [(m, f, ", ".join(members)) for f, members in greedy_members(sets).items() for m in members]
+        of = spark.createDataFrame(rows, "protein string, founder string, protein_group string")
+    per = peptides.join(of, "protein").groupBy("peptide").agg(F.array_sort(F.collect_set(F.struct("protein_group", "founder"))).alias("groups"))
+    unique = per.where(F.size("groups") == 1).select("peptide", F.col("groups")[0]["protein_group"].alias("protein_group"), F.col("groups")[0]["founder"].alias("founder"))
+    shared = per.where(F.size("groups") > 1).select("peptide", F.array_join("groups.protein_group", "; ").alias("groups"))
     targets = peptides.select("protein").distinct().where(~F.col("protein").startswith(decoy_prefix))
     pairs = targets.select(F.col("protein").alias("target"), F.concat(F.lit(decoy_prefix), "protein").alias("decoy"))
     return ProteinTables(unique, shared, pairs, decoy_prefix, has_decoys)
@@ -130,10 +145,6 @@ def match_decoys(decoys: DataFrame, targets: DataFrame, peptide: str = "peptide"
     return ranked(decoys, "decoy").join(ranked(targets, "target"), ["key", "rank"]).select("decoy", "target")
 
 
-def _first_protein(group: Column) -> Column:
-    return F.element_at(F.split(group, ", "), 1)
-
-
 def picked_proteins(psms: DataFrame, proteins: ProteinTables, peptide: str, score: str, target: str, row_id: str, seed: int = 1, check: bool = True) -> DataFrame:
     """(protein_group, best_peptide, stripped_sequence, score, target): the better of each pair of target and decoy protein group.
 
@@ -144,12 +155,12 @@ def picked_proteins(psms: DataFrame, proteins: ProteinTables, peptide: str, scor
     every = strip_peptides(psms, peptide)
     # the best of a pair is the best of its sequences' best rows, so a hot peptide is one row before any join
     bare = best_per_group(every, [seq, target], score, None, [row_id])
-    by_target = bare.join(proteins.peptide_map.withColumnRenamed("peptide", seq), seq, "left")
+    by_target = bare.join(proteins.unique.withColumnRenamed("peptide", seq), seq, "left")
     if not proteins.has_decoys:
         found = match_decoys(bare.where(~F.col(target)).select(F.col(seq).alias("peptide")), proteins.peptide_map)
         prefixed = F.array_join(F.transform(F.split("protein_group", ", "), lambda p: F.concat(F.lit(proteins.decoy_prefix), p)), ", ")
-        decoy_map = found.join(proteins.peptide_map.withColumnRenamed("peptide", "target"), "target").select(F.col("decoy").alias(seq), prefixed.alias("_decoy_group"))
-        by_target = by_target.join(decoy_map, seq, "left").withColumn("protein_group", F.when(F.col(target), F.col("protein_group")).otherwise(F.col("_decoy_group"))).drop("_decoy_group")
+        decoy_map = found.join(proteins.unique.withColumnRenamed("peptide", "target"), "target").select(F.col("decoy").alias(seq), prefixed.alias("_decoy_group"), F.col("founder").alias("_decoy_founder"))
+        by_target = by_target.join(decoy_map, seq, "left").withColumns({c: F.when(F.col(target), F.col(c)).otherwise(F.col(d)) for c, d in (("protein_group", "_decoy_group"), ("founder", "_decoy_founder"))}).drop("_decoy_group", "_decoy_founder")
     if check:
         unknown = by_target.where(F.col("protein_group").isNull()).join(proteins.shared.withColumnRenamed("peptide", seq), seq, "left_anti").select(seq, target)
         rows = every.groupBy(seq, target).agg(F.count(F.lit(1)).alias("_n"))
@@ -157,14 +168,13 @@ def picked_proteins(psms: DataFrame, proteins: ProteinTables, peptide: str, scor
         if lost > 0.1 * max(1, psms.count()):
             raise ValueError(f"{lost} rows' peptides are in no protein of the database; was it digested like the spectra's sample?")
     known = by_target.where(F.col("protein_group").isNotNull())
-    first = _first_protein(F.col("protein_group"))
+    first = F.col("founder")
     pair = F.when(first.startswith(proteins.decoy_prefix), F.substring(first, F.lit(len(proteins.decoy_prefix) + 1), F.length(first))).otherwise(first)
     best = best_per_group(known.withColumn("_pair", pair), ["_pair"], score, target, [row_id])
     return best.select("protein_group", F.col(peptide).alias("best_peptide"), seq, score, target)
 
 
-def proteins_from_column(psms: DataFrame, peptide: str, proteins: str, decoy_prefix: str = "decoy_", separator: str = r"\t|:(?=\S)|; ?|, ?") -> DataFrame:
-    """(protein, peptide) from packed protein names, where there is no sequence database."""
-    return psms.where(F.col(peptide).isNotNull() & F.col(proteins).isNotNull()).select(F.explode(F.split(proteins, separator)).alias("protein"), F.col(peptide).alias("peptide")).where("protein <> ''").distinct()
-
-
+def proteins_from_column(psms: DataFrame, peptide: str, proteins: str) -> DataFrame:
+    """(protein, peptide) from packed protein names, split by ``split_packed``, where there is no sequence database."""
+    rows = psms.where(F.col(peptide).isNotNull()).select(F.col(peptide).alias("peptide"), F.col(proteins).alias("packed"))
+    return split_packed(rows, "packed", ["peptide"], value="protein").select("protein", "peptide").distinct()

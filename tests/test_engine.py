@@ -168,6 +168,18 @@ def test_proteins(spark, tmp_path, monkeypatch):
     assert [len(x) for x in line.split("\n")] == [2, 70, 70, 10]
 
 
+def test_protein_names_are_split_like_any_packed_field(spark):
+    packed = [("P1", "A | B | C"), ("P2", '"A"'), ("P3", "[ A ]"), ("P4", '"decoy_A"'), ("P5", '"D k, type 1"'), ("P6", '"D k, type 2";'), ("P7", '"decoy_D k, type 1"'), ("P8", None), ("P8", " ")]
+    psms = spark.createDataFrame([(i, p, float(i), not (x or "").startswith('"decoy_'), x) for i, (p, x) in enumerate(packed)], "id long, peptide string, score double, target boolean, proteins string")
+    pairs = proteins.proteins_from_column(psms, "peptide", "proteins")
+    assert {tuple(r) for r in pairs.collect()} == {
+        ("A", "P1"), ("B", "P1"), ("C", "P1"), ("A", "P2"), ("A", "P3"), ("decoy_A", "P4"), ("D k, type 1", "P5"), ("D k, type 2", "P6"), ("decoy_D k, type 1", "P7")
+    }
+    picked = picked_proteins(psms, group_proteins(pairs), "peptide", "score", "target", "id", check=False)
+    # a comma within a name parts neither groups nor pairs
+    assert {(r["protein_group"], r["best_peptide"]) for r in picked.collect()} == {("decoy_A", "P4"), ("D k, type 2", "P6"), ("decoy_D k, type 1", "P7")}
+
+
 def test_svm_matches_gradient_zero():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(400, 5)), np.sign(rng.normal(size=400))
