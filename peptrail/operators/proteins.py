@@ -104,8 +104,9 @@ def contained_proteins(peptides: DataFrame) -> DataFrame:
 def group_proteins(peptides: DataFrame, decoy_prefix: str = "decoy_", has_decoys: bool = True) -> ProteinTables:
     """Groups of proteins that the peptides can't tell apart, from (protein, peptide).
 
-    Up to DRIVER_PAIRS pairs (a count that stops there decides) the greedy order is followed exactly on the driver. Beyond that each
-    protein joins those of its parents that have no parent themselves, which differs only where a parent was merged into several groups.
+    Up to DRIVER_PAIRS pairs (a count that stops there decides) the greedy order is followed on the driver. Beyond that each protein
+    joins those of its parents that have no parent themselves. Both give the same rows: a protein founds a group exactly if no other has
+    all its peptides and more, and none before it by name the same; members come by falling number of peptides, then by name.
     """
     spark = peptides.sparkSession
     peptides = peptides.select("protein", "peptide").distinct()
@@ -114,8 +115,8 @@ def group_proteins(peptides: DataFrame, decoy_prefix: str = "decoy_", has_decoys
         inside = parents_of_sets(peptides, twins)
         free = twins.where("protein = twin").select("protein").join(inside.select("protein").distinct(), "protein", "left_anti").select(F.col("protein").alias("parent"))
         roots = inside.join(free, "parent").unionByName(free.select("parent", F.col("parent").alias("protein")))
-        members = twins.select("protein", "twin").join(roots.withColumnRenamed("protein", "twin"), "twin").select("parent", "protein")
-        names = members.groupBy("parent").agg(F.concat_ws(", ", F.concat(F.array("parent"), F.array_sort(F.filter(F.collect_set("protein"), lambda p: p != F.col("parent"))))).alias("protein_group"))
+        members = twins.select("protein", "twin", "n").join(roots.withColumnRenamed("protein", "twin"), "twin").select("parent", "protein", "n")
+        names = members.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("n"), "protein")))["protein"], ", ").alias("protein_group"))
         of = members.join(names, "parent").select("protein", F.col("parent").alias("founder"), "protein_group")
     else:
         sets: dict[str, set[str]] = {}

@@ -180,6 +180,18 @@ def test_protein_names_are_split_like_any_packed_field(spark):
     assert {(r["protein_group"], r["best_peptide"]) for r in picked.collect()} == {("decoy_A", "P4"), ("D k, type 2", "P6"), ("decoy_D k, type 1", "P7")}
 
 
+def test_protein_groups_are_the_same_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = {(p, x) for p, n, of in zip("zyxwvutsrqponmlkjihg", [8, 6, 5, 4, 3, 3, 2, 2, 1, 1] * 2, [8] * 10 + [12] * 10) for x in rng.choice(of, n, replace=False).astype(str)}
+    rows |= {("z1", x) for p, x in rows if p == "z"} | {("a", "0"), ("b", "0"), ("b", "1"), ("c", "11"), ("d", "only")}
+    m = spark.createDataFrame(sorted(rows), "protein string, peptide string")
+    found = lambda t: [sorted(map(tuple, d.collect())) for d in (t.unique, t.shared)]
+    few = found(group_proteins(m))
+    assert any(g.count(", ") > 2 and g.split(", ") != sorted(g.split(", ")) for _, g, _ in few[0]) and few[1]
+    monkeypatch.setattr(proteins, "DRIVER_PAIRS", 1)
+    assert found(group_proteins(m)) == few
+
+
 def test_svm_matches_gradient_zero():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(400, 5)), np.sign(rng.normal(size=400))
