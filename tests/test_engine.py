@@ -1,11 +1,13 @@
 """Roles, sources, competition, proteins, learning, confidence, sinks, streaming and the command line."""
 
+import inspect
 import json
 import sqlite3
 
 import numpy as np
 import pandas as pd
 import pytest
+from compare import TABLES
 from pyspark.sql import functions as F
 
 from peptrail import cli
@@ -18,6 +20,7 @@ from peptrail.learn.svm import fit_local
 from peptrail.operators import competition as comp
 from peptrail.operators import proteins
 from peptrail.operators.proteins import contained_proteins, greedy_groups, group_proteins, match_decoys, picked_proteins
+from peptrail.plans import core_queries
 from peptrail.roles import infer_roles
 from peptrail.sinks.writers import fasta_lines, output_path, to_flashlfq, write_sqlite, write_table
 from peptrail.sources.fasta import read_fasta, read_proteins
@@ -234,6 +237,23 @@ def test_brew_and_confidence(spark, tmp_path, pin):
     assert spark.read.parquet(written["psms"]["targets"]).count() + spark.read.parquet(written["psms"]["decoys"]).count() == 750
 
 
+@pytest.mark.skipif(not TABLES.exists(), reason="the tables aren't here")
+@pytest.mark.parametrize("name", ["brew_scores", "end_to_end"])
+def test_registered_rescoring_is_the_whole_training(spark, monkeypatch, name):
+    asked = []
+
+    def spy(*args, **options):
+        bound = inspect.signature(brew).bind(*args, **options)
+        bound.apply_defaults()
+        asked.append(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(core_queries, "brew", spy)
+    with pytest.raises(InterruptedError):
+        core_queries.QUERIES[name](spark, str(TABLES))
+    assert [(a["max_iter"], a["search"], a["subset_max_train"], a["models"]) for a in asked] == [(10, True, None, None)]
+
+
 def test_bad_features_fall_back(spark):
     df = spark.createDataFrame(psm_pandas(600, shift=0.0).drop(columns=["f2", "f3"]))
     with pytest.raises(RuntimeError):
