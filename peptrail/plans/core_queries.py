@@ -74,10 +74,19 @@ def qvalues_from_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _round(qv.from_counts(_psm(spark, sf), "score", "target").select("row_id", "q_value"), "q_value")
 
 
-def qvalues_from_peps(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets only, as SQL has no interpolation; the decoys' values are tested against brute force."""
+def _q_from_peps(spark: SparkSession, sf: str) -> DataFrame:
     df = _psm(spark, sf).withColumn("pep", 1 / (1 + F.exp(F.col("score") - 2)))
-    return _round(qv.from_peps(df, "score", "target", "pep").where("target").select("row_id", "q_value"), "q_value")
+    return _round(qv.from_peps(df, "score", "target", "pep"), "q_value")
+
+
+def qvalues_from_peps(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets only, as its SQL has it; qvalues_from_peps_all has the decoys, too."""
+    return _q_from_peps(spark, sf).where("target").select("row_id", "q_value")
+
+
+def qvalues_from_peps_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record: a decoy's value is interpolated between the targets around it."""
+    return _q_from_peps(spark, sf).select("row_id", "q_value")
 
 
 def qvalues_hist(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,7 +352,7 @@ def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tdc_qvalues, tdc_qvalues_asc, qvalues_from_counts, qvalues_from_peps, qvalues_hist, streaming_confidence, stream_event_histogram, td_histogram, score_statistics, bin_edges,
+        tdc_qvalues, tdc_qvalues_asc, qvalues_from_counts, qvalues_from_peps, qvalues_from_peps_all, qvalues_hist, streaming_confidence, stream_event_histogram, td_histogram, score_statistics, bin_edges,
         update_labels, training_set, psm_competition, no_dedup, rollup_multi_level, peptide_confidence, target_decoy_split, discovery_curve, entity_counts, best_feature, fold_split,
         calibrate_scores, linear_score, zscore_features, nan_feature_probe, role_inference, label_coercion, composition_key, strip_peptides, base_sequence, digest_kr, digest_trypsin,
         decoy_proteins, fasta_export, protein_groups_unique_shared, protein_containment, protein_subset_grouping, decoy_matching, picked_protein, picked_protein_groups, flashlfq_export,
@@ -368,6 +377,12 @@ ORACLES = {
     "qvalues_from_peps": f"""WITH src AS (SELECT *, 1 / (1 + exp(score - 2)) AS pep FROM ({PSM_SQL}) WHERE target), g AS (SELECT score AS s, sum(pep) AS p, count(*) AS n FROM src GROUP BY 1),
         c AS (SELECT s, sum(p) OVER w / sum(n) OVER w AS f FROM g WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
         m AS (SELECT s, min(f) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS q FROM c) SELECT row_id, round(q, 6) AS q_value FROM src JOIN m ON score = s""",
+    "qvalues_from_peps_all": f"""WITH src AS (SELECT *, score::DOUBLE AS x, 1 / (1 + exp(score - 2)) AS pep FROM ({PSM_SQL})), g AS (SELECT x, sum(pep) FILTER (target) AS p, count(*) FILTER (target) AS n FROM src GROUP BY 1),
+        c AS (SELECT x, n, sum(p) OVER w / sum(n) OVER w AS f FROM g WINDOW w AS (ORDER BY x DESC ROWS UNBOUNDED PRECEDING)),
+        m AS (SELECT x, CASE WHEN n > 0 THEN x END AS k, CASE WHEN n > 0 THEN min(CASE WHEN n > 0 THEN f END) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) END AS q FROM c),
+        i AS (SELECT x, last_value(k IGNORE NULLS) OVER lo AS xl, last_value(q IGNORE NULLS) OVER lo AS ql, last_value(k IGNORE NULLS) OVER hi AS xh, last_value(q IGNORE NULLS) OVER hi AS qh FROM m
+            WINDOW lo AS (ORDER BY x ROWS UNBOUNDED PRECEDING), hi AS (ORDER BY x DESC ROWS UNBOUNDED PRECEDING))
+        SELECT row_id, round(CASE WHEN xl IS NULL THEN qh WHEN xh IS NULL OR xh = xl THEN ql ELSE ql + (qh - ql) * ((x - xl) / (xh - xl)) END, 6) AS q_value FROM src JOIN i USING (x)""",
     "qvalues_hist": f"""WITH src AS ({PSM_SQL}), {_GRID}, e AS (SELECT i AS bin, coalesce(targets, 0) AS t, coalesce(decoys, 0) AS d FROM range({BINS}) x(i) LEFT JOIN b ON b.bin = i),
         c AS (SELECT bin, sum(t) OVER w AS ct, sum(d) OVER w AS cd FROM e WINDOW w AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
         m AS (SELECT bin, min(least(1.0::DOUBLE, (cd + 1) / greatest(ct, 1)::DOUBLE)) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS q FROM c),

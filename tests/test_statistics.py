@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from compare import TABLES
 from pyspark.sql import functions as F
 
 from peptrail.operators.histogram import Histogram, bin_count, bin_edges, histogram, interpolate, score_statistics
 from peptrail.operators.isotonic import isotonic, monotone_mean, monotone_rates, running
 from peptrail.operators.peps import CURVES, peps, pi0_by_slope, pi0_slope
 from peptrail.operators.qvalues import coerce_target, curve_from_histogram, discovery_curve, from_counts, from_histogram, from_peps, qvalues, tdc, training_rows, update_labels
+from peptrail.plans import core_queries
 
 SCORES = [10, 10, 9, 8, 7, 7, 6, 5, 4, 3, 2, 2, 1, 1, 1, 1]
 TARGETS = [1, 1, 1, 1, 0, 1, 1, 0, 1, 0, 1, 0, 0, 0, 0, 0]
@@ -81,6 +83,19 @@ def test_from_peps(spark):
     assert np.allclose(ordered(from_peps(df, "score", "target", "pep")), np.interp(s, s[t][o][::-1], q[::-1]))
 
 
+@pytest.mark.skipif(not TABLES.exists(), reason="the tables aren't here")
+def test_q_values_of_all_records_have_the_decoys(spark):
+    rows = core_queries._psm(spark, str(TABLES)).toPandas()
+    found = dict(map(tuple, core_queries.QUERIES["qvalues_from_peps_all"](spark, str(TABLES)).collect()))
+    t, s = rows.target.to_numpy(bool), rows.score.to_numpy(float)
+    x, n = np.unique(s[t], return_counts=True)
+    p = 1 / (1 + np.exp(x - 2))
+    mean = np.cumsum((p * n)[::-1]) / np.cumsum(n[::-1])
+    q = np.minimum.accumulate(mean[::-1])
+    assert (~t).sum() > 0 and set(found) == set(rows.row_id)
+    assert np.allclose([found[i] for i in rows.row_id], np.interp(s, x, q), rtol=0, atol=2e-6)
+
+
 def simulated(spark, n=4000, seed=5):
     rng = np.random.default_rng(seed)
     right = np.maximum(rng.normal(3, 2, n), rng.normal(-4, 2, n))
