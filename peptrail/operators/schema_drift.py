@@ -7,6 +7,8 @@ each of its names stands for, and every file's rows are routed through them: ren
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,10 +43,11 @@ MEANINGS = (
     ("xcorr", "cross_corr", "xcorr_score"),
 )
 _KNOWN = {name: group[0] for group in MEANINGS for name in group}
+_ALL = 2**64 - 1
 #: Roles whose columns are the same field under any name; others are matched by name.
 IDENTIFIER, PEPTIDE, PROTEINS = "specid", "peptide", "proteins"
 
-_COLUMN = "struct<name:string,type:string,lo:double,hi:double>"
+_COLUMN = "struct<name:string,type:string,lo:double,hi:double,mean:double,sd:double,bits:bigint>"
 _STEPS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("old", "new", "change_kind", "old_type", "new_type")]))
 
 
@@ -52,10 +55,20 @@ def _bare(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
 
+def _short_for(a: str, b: str) -> bool:
+    """Whether a is b's first word, or four or more of b's characters in their order, from the first, with all digits."""
+    p, q = _bare(a), _bare(b)
+    if p and re.split(r"[^a-z0-9]+", b.lower())[0] == p:
+        return True
+    rest = iter(q)
+    return len(p) >= 4 and p[0] == q[:1] and all(c in rest for c in p) and re.sub(r"\D", "", p) == re.sub(r"\D", "", q)
+
+
 def same_meaning(a: dict, b: dict) -> float:
     """How well two columns of different names agree in meaning, 0 to 1; above 0.5 they are one field.
 
-    Names of a known meaning decide. Else names that share most of their letters, or value ranges of a like kind that largely overlap.
+    Names of a known meaning decide. Else names that share most of their letters, if their values don't contradict, or values that are
+    distributed alike. That both are text, or both within 0 and 1, is no evidence.
     """
     x, y = _KNOWN.get(a["name"].lower()), _KNOWN.get(b["name"].lower())
     if x and y:
@@ -67,11 +80,37 @@ def same_meaning(a: dict, b: dict) -> float:
     name = 2 * len(pairs(p) & pairs(q)) / max(1, len(pairs(p)) + len(pairs(q)))
     if (a["type"] == "text") != (b["type"] == "text"):
         return min(name, 0.4)
-    if a["lo"] is None or b["lo"] is None:
-        return max(name, 0.6 if a["type"] == b["type"] == "text" else 0.0)
+    if _short_for(a["name"], b["name"]) or _short_for(b["name"], a["name"]):
+        name = max(name, 0.7)
+    values = same_values(a, b)
+    if values is None:
+        return name
+    return max(name if values > 0.1 else min(name, 0.5), 0.9 * values)
+
+
+def same_values(a: dict, b: dict) -> float | None:
+    """How alike the values of two columns are distributed, 0 to 1; None if what is known of them tells nothing.
+
+    Texts: the share of common values, by a bitmap of 64 hashes, unless it is nearly full. Numbers: the overlap of their ranges, less where
+    means or spreads differ. Ranges of 0 and 1 tell nothing if they agree.
+    """
+    if a["type"] == "text":
+        u, v = (c.get("bits") for c in (a, b))
+        if u is None or v is None or max((u & _ALL).bit_count(), (v & _ALL).bit_count()) > 40:
+            return None
+        return (u & v & _ALL).bit_count() / max(1, ((u | v) & _ALL).bit_count())
+    if any(c[k] is None for c in (a, b) for k in ("lo", "hi")):
+        return None
     wide = max(a["hi"], b["hi"]) - min(a["lo"], b["lo"])
-    overlap = 1.0 if wide == 0 else max(0.0, (min(a["hi"], b["hi"]) - max(a["lo"], b["lo"])) / wide)
-    return max(name, 0.9 * overlap)
+    if wide == 0 or all(0 <= c["lo"] and c["hi"] <= 1 for c in (a, b)):
+        return None
+    overlap = max(0.0, (min(a["hi"], b["hi"]) - max(a["lo"], b["lo"])) / wide)
+    if any(c.get(k) is None for c in (a, b) for k in ("mean", "sd")):
+        return overlap
+    spread = max(a["sd"], b["sd"])
+    if spread == 0:
+        return overlap
+    return overlap * max(0.0, 1 - abs(a["mean"] - b["mean"]) / spread) * min(a["sd"], b["sd"]) / spread
 
 
 def migration(old: list[dict], new: list[dict]) -> list[tuple[str | None, str | None, str, str | None, str | None]]:
@@ -141,10 +180,10 @@ def versions(lines: DataFrame, files: DataFrame, clean: DataFrame | None = None)
     v = F.col("v")
     number, whole = v.rlike(NUMBER), v.rlike(WHOLE)
     value = F.when(number, v.try_cast("double"))
-    kinds = cells.groupBy("file_id", "no").agg(F.min(number).alias("number"), F.min(whole).alias("whole"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    kinds = cells.groupBy("file_id", "no").agg(F.min(number).alias("number"), F.min(whole).alias("whole"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.expr("bit_or(shiftleft(1L, pmod(hash(v), 64)))").alias("bits"))
     names = headers(lines, files).select("file_id", F.posexplode("header").alias("no", "name"))
     kind = F.when(F.coalesce("whole", F.lit(True)), "whole").when(F.col("number"), "decimal").otherwise("text")
-    column = F.struct("no", F.struct("name", kind.alias("type"), F.when(F.col("number"), F.col("lo")).alias("lo"), F.when(F.col("number"), F.col("hi")).alias("hi")).alias("c"))
+    column = F.struct("no", F.struct("name", kind.alias("type"), F.when(F.col("number"), F.col("lo")).alias("lo"), *[F.when(F.col("number"), F.col(k)).alias(k) for k in ("hi", "mean", "sd")], "bits").alias("c"))
     # grouped by file: as many entries as its header has columns
     columns = names.join(kinds, ["file_id", "no"], "left").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(column)), lambda s: s["c"]).cast(f"array<{_COLUMN}>").alias("columns"))
     print_of = F.sha2(F.array_join(F.transform("columns", lambda c: F.concat_ws(":", F.lower(c["name"]), c["type"])), "|"), 256)

@@ -163,6 +163,21 @@ def test_migration():
     assert sorted(s[2] for s in migration([*head, col("qqq", lo=3, hi=9), *ends], [*head, col("zzz", lo=100, hi=900), *ends])) == ["added", "removed"]
 
 
+def test_migration_of_unknown_names():
+    ends, head = [col("Peptide", "text"), col("Proteins", "text")], [col("SpecId", "text")]
+    kinds = lambda a, b: sorted(s[2] for s in migration([*head, a, *ends], [*head, b, *ends]))
+    apart = ["added", "removed"]
+    # type, or a range of 0 and 1, is no evidence
+    assert kinds(col("is_decoyish", "whole", 0, 1), col("zflag", "whole", 0, 1)) == apart
+    assert kinds(col("qqq", "text", None, None), col("zzz", "text", None, None)) == apart
+    assert kinds(col("qqq", "text", None, None) | {"bits": 0b0111}, col("zzz", "text", None, None) | {"bits": 0b111000}) == apart
+    assert kinds(col("qqq", "text", None, None) | {"bits": 0b0111}, col("zzz", "text", None, None) | {"bits": 0b0111}) == ["renamed"]
+    # the same range, but not the same distribution
+    assert kinds(col("qqq", lo=3, hi=9) | {"mean": 4.0, "sd": 0.5}, col("zzz", lo=3, hi=9) | {"mean": 8.0, "sd": 0.5}) == apart
+    assert kinds(col("qqq", lo=3, hi=9) | {"mean": 6.0, "sd": 1.0}, col("zzz", lo=3, hi=9.1) | {"mean": 6.1, "sd": 1.1}) == ["renamed"]
+    assert kinds(col("ab12_feature_3", lo=3, hi=9), col("ab12_f3", lo=4, hi=12)) == ["renamed"]
+
+
 XML = """<?xml version="1.0" encoding="ISO-8859-1"?><x:spectrum_query xmlns:x="u" spectrum='a &amp; b'><x:search_result/><x:search_result>
 <x:search_hit peptide="AB"><x:search_score name="s" value="1"/><x:modification_info><x:mod_aminoacid_mass mass="5.0"/></x:modification_info><x:alternative_protein/>
 <x:a><x:b><x:parameter value="&lt;é"/></x:b></x:a></x:search_hit><x:search_hit/></x:search_result></x:spectrum_query>"""
