@@ -15,16 +15,16 @@ import logging
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from peptrail.dataset import ROW_ID, PsmDataset
+from peptrail.learn.blocks import Block, Blocks, add_up, pack
 from peptrail.learn.estimators import Estimator, train_fold
-from peptrail.learn.svm import Problem, margin_terms, newton, sum_arrays
+from peptrail.learn.svm import Problem, margin_terms, newton
+from peptrail.learn.thresholds import Question, accepted, medians
 from peptrail.operators.competition import fold_split, training_sample
-from peptrail.operators.qvalues import tdc_table
 
 log = logging.getLogger(__name__)
 GRID = tuple((p, n) for p in (0.1, 1.0, 10.0) for n in (0.1, 1.0, 10.0))
@@ -73,27 +73,32 @@ def load_models(path: str) -> list[LinearModel]:
     return [LinearModel(tuple(n for n, _ in feats), (0.0,) * len(feats), (1.0,) * len(feats), tuple(w for _, w in feats), bias)]
 
 
-def accepted(table: DataFrame, parts: list[str], fdr: float, descending: bool = True) -> DataFrame:
-    """(parts, passing, threshold): accepted targets of each set of q-values, and the worst score that is accepted."""
-    ok = F.col("_q") <= fdr
-    worst = F.min if descending else F.max
-    return table.groupBy(*parts).agg(F.coalesce(F.sum(F.when(ok, F.col("_t"))), F.lit(0)).alias("passing"), worst(F.when(ok, F.col("_s"))).alias("threshold"))
+def _race(rows: Blocks, features: list[int], fdr: float, folds: int = 1, without: list[int | None] | None = None) -> dict[int | None, dict]:
+    """For each fold left out (None: no fold) the feature that accepts most targets of the rest: feature, descending, passing, threshold.
+
+    Earlier features and falling order win ties. Every feature's values are counted once, whatever the number of folds and directions.
+    """
+    asked = [(k, i, down) for k in without or [None] for i in features for down in (True, False)]
+    found = accepted(rows, lambda b: [b.x[:, i] for i in range(b.x.shape[1])], [Question(i, down, k, ("fold", k)) for k, i, down in asked], fdr, folds)
+    best: dict[int | None, dict] = {}
+    for (k, i, down), a in zip(asked, found):
+        if k not in best or a.passing > best[k]["passing"]:
+            best[k] = {"feature": i, "descending": down, "passing": a.passing, "threshold": a.threshold}
+    return best
 
 
-def best_features(df: DataFrame, features: list[str], target: str, fdr: float, parts: list[str] | None = None) -> DataFrame:
-    """(parts, feature, descending, passing, threshold): the single feature that accepts most targets, over both directions.
+def best_features(df: DataFrame, features: list[str], target: str, fdr: float) -> DataFrame:
+    """(feature, descending, passing, threshold): the single feature that accepts most targets, over both directions; one row.
 
-    All features and directions are one job: they are unpivoted to (feature, score) and counted by score. Earlier features and falling
-    order win ties.
+    threshold: the worst accepted value, negated if lower is better; null if none is accepted. Nulls and NaN don't count. Earlier features
+    and falling order win ties.
     """
-    parts = parts or []
-    pairs = F.array(*[F.struct(F.lit(i).alias("_feat"), F.lit(d).alias("_desc"), (F.col(f"`{f}`") if d else -F.col(f"`{f}`")).cast("double").alias("_v")) for i, f in enumerate(features) for d in (True, False)])
-    long = df.select(*parts, target, F.inline(pairs)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = accepted(tdc_table(long.withColumnRenamed(target, "_y"), "_v", "_y", True, [*parts, "_feat", "_desc"]), [*parts, "_feat", "_desc"], fdr)
-    order = F.struct(F.col("passing"), -F.col("_feat"), F.col("_desc"))
-    best = counts.groupBy(*parts).agg(F.max_by(F.struct("_feat", "_desc", "passing", "threshold"), order).alias("b"))
-    name = F.element_at(F.array(*map(F.lit, features)), F.col("b._feat") + 1)
-    return best.select(*parts, name.alias("feature"), F.col("b._desc").alias("descending"), F.col("b.passing").alias("passing"), F.col("b.threshold").alias("threshold"))
+    rows = pack(df, [F.col(f"`{f}`") for f in features], F.col(target))
+    try:
+        r = _race(rows, list(range(len(features))), fdr)[None]
+    finally:
+        rows.close()
+    return df.sparkSession.createDataFrame([(features[r["feature"]], r["descending"], r["passing"], r["threshold"])], "feature string, descending boolean, passing long, threshold double")
 
 
 @dataclass
@@ -125,25 +130,16 @@ def brew(
     if not feats:
         raise ValueError("the dataset has no features")
     df = fold_split(dataset.df, list(roles.spectrum), folds).persist(StorageLevel.MEMORY_AND_DISK)
-    slim = df.select(ROW_ID, y, "fold", F.abs(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in roles.spectrum]) % CV_PARTS).cast("int").alias("cv"), *[F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
-    train_rows = slim if subset_max_train is None else training_sample(slim, ["fold"], ROW_ID, max(1, subset_max_train // max(1, folds - 1)), seed)
-    train_rows = train_rows.persist(StorageLevel.MEMORY_AND_DISK)
-    train_rows.count()  # from here on its size is known
     ks = list(range(folds))
-    d = len(feats)
-    names = [f"_x{i}" for i in range(d)]
-
-    def by_model(rows: DataFrame) -> DataFrame:
-        """Each row once for every model that learns from it."""
-        return rows.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).where(F.col("k") != F.col("fold"))
-
+    part = F.abs(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in roles.spectrum]) % CV_PARTS)
+    chosen = df if subset_max_train is None else training_sample(df, ["fold"], ROW_ID, max(1, subset_max_train // max(1, folds - 1)), seed)
+    rows = pack(chosen, [F.col(f"`{f}`") for f in feats], F.col(f"`{y}`"), F.col("fold"), part)
     try:
-        found = best_features(by_model(train_rows), names, y, train_fdr, ["k"]).collect()
-        best = {r["k"]: r for r in found}
-        overall = max(found, key=lambda r: r["passing"])
-        feature = feats[int(overall["feature"][2:])]
         if direction is not None and direction not in feats:
             raise ValueError(f"no feature {direction}")
+        best = _race(rows, list(range(len(feats))), train_fdr, folds, ks)
+        overall = max(best.values(), key=lambda r: r["passing"])
+        feature = feats[overall["feature"]]
         if overall["passing"] == 0 and models is None:
             raise RuntimeError("no feature accepts any target at this rate")
         trained: dict[int, LinearModel | None] = {}
@@ -152,9 +148,9 @@ def brew(
                 raise ValueError("as many models as folds are needed")
             trained = {k: models[k % len(models)] for k in ks}
         elif estimator is not None:
-            return _brew_estimator(estimator, df, train_rows, best, overall, feats, names, y, train_fdr, test_fdr, max_iter, override, ensemble, ks)
+            return _brew_estimator(estimator, df, chosen, best, overall, feats, y, train_fdr, test_fdr, max_iter, override, ensemble, ks)
         else:
-            trained = _train(train_rows, by_model, best, feats, names, y, train_fdr, max_iter, direction, override, search, ks, start_model)
+            trained = _train(rows, best, feats, train_fdr, max_iter, direction, override, search, ks, start_model)
         whole = [m for m in trained.values() if m is not None]
         scored, passing = None, -1
         if len(whole) == folds:
@@ -165,29 +161,41 @@ def brew(
                 picked = F.lit(None).cast("double")
                 for k in ks:
                     picked = F.when(F.col("fold") == k, raw[k]).otherwise(picked)
-                scored = calibrate(df.withColumn("score", picked), "score", y, "fold", test_fdr)
-            passing = accepted(tdc_table(scored, "score", y), [], test_fdr).first()["passing"]
+                scored = calibrate(df.withColumn("score", picked), "score", y, "fold", test_fdr, ks)
+            passing = _passing(scored, y, test_fdr)
         if scored is None or (overall["passing"] > passing and not override):
             value = F.col(f"`{feature}`").cast("double")
             scored = df.withColumn("score", value if overall["descending"] else -value)
             return BrewResult(scored, whole, "feature", feature, overall["passing"], passing)
         return BrewResult(scored, whole, "model", feature, overall["passing"], passing)
     finally:
-        train_rows.unpersist()
+        rows.close()
+
 
+def _passing(scored: DataFrame, target: str, fdr: float) -> int:
+    rows = pack(scored, [F.col("score")], F.col(f"`{target}`"))
+    try:
+        return accepted(rows, lambda b: [b.x[:, 0]], [Question(0)], fdr)[0].passing
+    finally:
+        rows.close()
 
-def _brew_estimator(estimator, df, rows, best, overall, feats, names, y, train_fdr, test_fdr, max_iter, override, ensemble, ks) -> BrewResult:  # noqa: ANN001
+
+def _brew_estimator(estimator, df, rows, best, overall, feats, y, train_fdr, test_fdr, max_iter, override, ensemble, ks) -> BrewResult:  # noqa: ANN001
     """As ``brew``, with a model of any kind: each fold is trained and scored by itself."""
-    feature = feats[int(overall["feature"][2:])]
+    feature = feats[overall["feature"]]
+    names = [f"_x{i}" for i in range(len(feats))]
+    columns = [F.col(f"`{f}`").cast("double").alias(n) for f, n in zip(feats, names)]
+    train_rows = rows.select(ROW_ID, y, "fold", *columns).persist(StorageLevel.MEMORY_AND_DISK)
     scorers = {}
     for k in ks:
         r = best[k]
         if r["threshold"] is None:
             continue
-        scorer, passing = train_fold(rows.where(F.col("fold") != k), estimator, names, y, (r["feature"], r["descending"], r["threshold"]), train_fdr, max_iter)
+        scorer, passing = train_fold(train_rows.where(F.col("fold") != k), estimator, names, y, (names[r["feature"]], r["descending"], r["threshold"]), train_fdr, max_iter)
         if scorer is not None and (override or passing > r["passing"]):
             scorers[k] = scorer
-    named = df.select("*", *[F.col(f"`{f}`").cast("double").alias(n) for f, n in zip(feats, names)])
+    train_rows.unpersist()
+    named = df.select("*", *columns)
     passing = -1
     if len(scorers) == len(ks):
         if ensemble:
@@ -196,38 +204,55 @@ def _brew_estimator(estimator, df, rows, best, overall, feats, names, y, train_f
             scored = named.withColumn("score", sum([F.col(f"_score{k}") for k in ks], F.lit(0.0)) / len(ks)).drop(*[f"_score{k}" for k in ks])
         else:
             parts = [scorers[k].score(named.where(F.col("fold") == k), "score") for k in ks]
-            scored = calibrate(functools.reduce(DataFrame.unionByName, parts), "score", y, "fold", test_fdr)
+            scored = calibrate(functools.reduce(DataFrame.unionByName, parts), "score", y, "fold", test_fdr, ks)
         scored = scored.drop(*names)
-        passing = accepted(tdc_table(scored, "score", y), [], test_fdr).first()["passing"]
+        passing = _passing(scored, y, test_fdr)
         if override or overall["passing"] <= passing:
             return BrewResult(scored, [], "model", feature, overall["passing"], passing)
     value = F.col(f"`{feature}`").cast("double")
     return BrewResult(df.withColumn("score", value if overall["descending"] else -value), [], "feature", feature, overall["passing"], passing)
 
 
-def calibrate(df: DataFrame, score: str, target: str, fold: str, fdr: float) -> DataFrame:
+def calibrate(df: DataFrame, score: str, target: str, fold: str, fdr: float, folds: list[int] | None = None) -> DataFrame:
     """Scores of each fold shifted and scaled: the worst accepted target is at 0, the decoys' median at -1.
 
-    (s - t) / (t - m): t the worst accepted target's score, m the exact median of decoys. RuntimeError if a fold accepts none.
+    (s - t) / (t - m): t the worst accepted target's score, m the exact median of decoys; of a fold without decoys t - 1. ``folds``: the
+    folds' numbers, if known. Null scores stay null and don't count. RuntimeError if a fold accepts none; rows without a fold get null.
     """
+    if folds is None:
+        folds = sorted(r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().collect())  # one row a fold
+    if not folds:
+        return df.withColumn(score, F.col(score).cast("double"))
+    at = {k: i for i, k in enumerate(folds)}
+    number = F.lit(None).cast("int")
+    for k, i in at.items():
+        number = F.when(F.col(fold) == k, i).otherwise(number)
+    rows = pack(df.where(F.col(fold).isNotNull()), [F.col(score)], F.col(f"`{target}`"), number)
+    each = lambda b: [np.where(b.fold == i, b.x[:, 0], np.nan) for i in range(len(folds))]
+    try:
+        found = accepted(rows, each, [Question(i) for i in range(len(folds))], fdr)
+        if any(a.threshold is None for a in found):
+            raise RuntimeError("scores can't be calibrated: a fold has no accepted target")
+        middle = medians(rows, each, len(folds))
+    finally:
+        rows.close()
     # the threshold is a 4-byte float; the score that it stands for is the least target score that rounds to it or above
-    at = accepted(tdc_table(df, score, target, True, [fold]), [fold], fdr)
-    joined = df.join(F.broadcast(at.select(fold, "threshold")), fold)
-    facts = joined.groupBy(fold).agg(F.min(F.when(F.col(target) & (F.col(score).cast("float") >= F.col("threshold")), F.col(score))).alias("_t"), F.percentile(F.when(~F.col(target), F.col(score)), 0.5).alias("_m")).collect()
-    if any(r["_t"] is None for r in facts):
-        raise RuntimeError("scores can't be calibrated: a fold has no accepted target")
+    limit = F.lit(None).cast("double")
+    for k, i in at.items():
+        limit = F.when(F.col(fold) == k, F.lit(found[i].threshold)).otherwise(limit)
+    worst = {r[0]: r[1] for r in df.where(F.col(target) & (F.col(score).cast("float") >= limit.cast("float"))).groupBy(fold).agg(F.min(score)).collect()}
     out = F.lit(None).cast("double")
-    for r in facts:
-        m = r["_m"] if r["_m"] is not None else r["_t"] - 1.0
-        span = (r["_t"] - m) or 1.0
-        out = F.when(F.col(fold) == r[fold], (F.col(score) - r["_t"]) / span).otherwise(out)
+    for k, i in at.items():
+        t = float(worst[k])
+        m = middle[i] if middle[i] is not None else t - 1.0
+        out = F.when(F.col(fold) == k, (F.col(score) - t) / ((t - m) or 1.0)).otherwise(out)
     return df.withColumn(score, out)
 
 
-def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, override, search, ks, start_model=None) -> dict[int, LinearModel | None]:  # noqa: ANN001
+def _train(rows: Blocks, best: dict[int, dict], feats: list[str], fdr: float, max_iter: int, direction: str | None, override: bool, search: bool, ks: list[int], start_model: LinearModel | None = None) -> dict[int, LinearModel | None]:
     """A model of each fold, or None where it isn't better than the best feature (the start model, if there is one)."""
     d = len(feats)
-    sums = sum_arrays(rows, lambda b: _moments(b, names, ks), len(ks) * 3 * d).reshape(len(ks), 3 * d)
+    sums = add_up(rows, lambda b: _moments(b, ks), len(ks) * 3 * d).reshape(len(ks), 3 * d)
     scale = {}
     for k in ks:
         n, s, q = np.split(sums.sum(0) - sums[k], 3)
@@ -236,86 +261,81 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
         sd = np.sqrt(np.maximum(q / n - mean**2, 0))
         scale[k] = (mean, np.where(sd > 1e-12, sd, 1.0))
 
-    # a labelling: column number or weights, direction, threshold
-    start: dict[int, tuple[np.ndarray, float]] = {}
+    # a labelling: weights and threshold
+    if direction is not None:
+        best = _race(rows, [feats.index(direction)], fdr, len(ks), ks)
+    start: dict[int, tuple[np.ndarray, float] | None] = {}
     for k in ks:
         r = best[k]
-        if direction is not None:
-            i = feats.index(direction)
-            r = best_features(by_model(rows).where(F.col("k") == k), [f"_x{i}"], y, fdr).first()
-        if r["threshold"] is None:
-            start[k] = None
-            continue
         w = np.zeros(d + 1)
-        i = int(r["feature"][2:])
-        w[i] = 1.0 if r["descending"] else -1.0
-        start[k] = (w, r["threshold"])
-    first_pass = {k: int(best[k]["passing"]) for k in ks}
+        w[r["feature"]] = 1.0 if r["descending"] else -1.0
+        start[k] = None if r["threshold"] is None else (w, r["threshold"])
+    first_pass = {k: best[k]["passing"] for k in ks}
     if start_model is not None:
         if set(start_model.features) != set(feats):
             raise ValueError("the start model has other features")
         of = dict(zip(start_model.features, zip(start_model.weights, start_model.sd)))
-        raw_weights = np.array([of[f][0] / of[f][1] for f in feats])
-        told = sum([F.col(n) * float(w) for n, w in zip(names, raw_weights)], F.lit(0.0))
-        for r in accepted(tdc_table(by_model(rows).withColumn("_score", told), "_score", y, True, ["k"]), ["k"], fdr).collect():
-            first_pass[r["k"]] = int(r["passing"])
-            start[r["k"]] = None if r["threshold"] is None else (np.append(raw_weights, 0.0), r["threshold"])
+        told = np.append(np.array([of[f][0] / of[f][1] for f in feats]), 0.0)
+        used = told[:-1] != 0
+        for k, a in zip(ks, accepted(rows, lambda b: [b.x[:, used] @ told[:-1][used]], [Question(0, True, k) for k in ks], fdr, len(ks))):
+            first_pass[k], start[k] = a.passing, None if a.threshold is None else (told, a.threshold)
     live = {k for k in ks if start[k] is not None}
 
-    def labelled(b: pd.DataFrame, k: int, rule: tuple[np.ndarray, float], raw: bool):  # noqa: ANN202
-        x = b[names].to_numpy(float)
+    def standard(b: Block, k: int) -> np.ndarray:
         mean, sd = scale[k]
-        z = (x - mean) / sd
-        if raw:  # a null score accepts nothing
-            used = rule[0][:-1] != 0
-            score = x[:, used] @ rule[0][:-1][used]
-        z = np.where(np.isnan(z), 0.0, z)
-        if not raw:
-            score = z @ rule[0][:-1] + rule[0][-1]
-        t = b[y].to_numpy(bool)
-        label = np.where(~t, -1, np.where(score.astype(np.float32) >= np.float32(rule[1]), 1, 0))
-        on = (label != 0) & (b["fold"].to_numpy() != k)
-        return np.column_stack([z[on], np.ones(on.sum())]), label[on].astype(float), b["cv"].to_numpy()[on]
-
-    def fit(problems: list[Problem], rules: dict[int, tuple[np.ndarray, float]], raw: bool, start: dict[tuple, np.ndarray] | None = None) -> dict[tuple, np.ndarray]:
+        z = (b.x - mean) / sd
+        return np.where(np.isnan(z), 0.0, z)
+
+    def labelled(b: Block, k: int, rule: tuple[np.ndarray, float], raw: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z, w = standard(b, k), rule[0]
+        if raw:  # a missing value accepts nothing
+            used = w[:-1] != 0
+            score = b.x[:, used] @ w[:-1][used]
+        else:
+            score = z @ w[:-1] + w[-1]
+        label = np.where(~b.y, -1, np.where(score.astype(np.float32) >= np.float32(rule[1]), 1, 0))
+        on = (label != 0) & (b.fold != k)
+        return np.column_stack([z[on], np.ones(on.sum())]), label[on].astype(float), b.part[on]
+
+    def fit(problems: list[Problem], rules: dict[int, tuple[np.ndarray, float]], raw: bool, warm: dict[tuple, np.ndarray] | None = None) -> dict[tuple, np.ndarray]:
         size = (d + 1) * (d + 1) + d + 2
 
-        def aggregate(w: dict[tuple, np.ndarray]):  # noqa: ANN202
+        def aggregate(w: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, np.ndarray, float]]:
             asked = [p for p in problems if p.key in w]
 
-            def per_batch(b: pd.DataFrame) -> np.ndarray:
+            def per_block(b: Block) -> np.ndarray:
                 out, made = [], {}
                 for p in asked:
                     k, _, left_out = p.key
                     if k not in made:
                         made[k] = labelled(b, k, rules[k], raw)
-                    x, t, cv = made[k]
+                    x, t, part = made[k]
                     if left_out >= 0:
-                        x, t = x[cv != left_out], t[cv != left_out]
+                        x, t = x[part != left_out], t[part != left_out]
                     g, r, loss = margin_terms(x, t, w[p.key], p.positive, p.negative)
                     out.append(np.concatenate([g.ravel(), r, [loss]]))
                 return np.concatenate(out)
 
-            total = sum_arrays(rows, per_batch, size * len(asked)).reshape(len(asked), size)
+            total = add_up(rows, per_block, size * len(asked)).reshape(len(asked), size)
             return {p.key: (v[: (d + 1) ** 2].reshape(d + 1, d + 1), v[(d + 1) ** 2 : -1], float(v[-1])) for p, v in zip(asked, total)}
 
-        return newton(problems, d, aggregate, start=start)
+        return newton(problems, d, aggregate, start=warm)
 
     weights_of = {k: (1.0, 1.0) for k in live}
     if search and live:
         problems = [Problem((k, c, v), *GRID[c]) for k in sorted(live) for c in range(len(GRID)) for v in range(CV_PARTS)]
         w = fit(problems, start, True)
 
-        def hits(b: pd.DataFrame) -> np.ndarray:
+        def hits(b: Block) -> np.ndarray:
             out = np.zeros(len(problems))
             made = {k: labelled(b, k, start[k], True) for k in live}
             for i, p in enumerate(problems):
-                x, t, cv = made[p.key[0]]
-                on = cv == p.key[2]
+                x, t, part = made[p.key[0]]
+                on = part == p.key[2]
                 out[i] = np.sum((x[on] @ w[p.key] > 0) == (t[on] > 0))
             return out
 
-        right = sum_arrays(rows, hits, len(problems))
+        right = add_up(rows, hits, len(problems))
         for k in live:
             score = [sum(r for r, p in zip(right, problems) if p.key[:2] == (k, c)) for c in range(len(GRID))]
             weights_of[k] = GRID[int(np.argmax(score))]
@@ -324,24 +344,21 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
     passing = dict(first_pass)
     current: dict[int, np.ndarray] = {}
     for _ in range(max_iter):
-        if not live:
+        asked = sorted(live)
+        if not asked:
             break
-        problems = [Problem((k, 0, -1), *weights_of[k]) for k in sorted(live)]
+        problems = [Problem((k, 0, -1), *weights_of[k]) for k in asked]
         fitted = fit(problems, rules, raw, {(k, 0, -1): w for k, w in current.items()})
-        current = {k: fitted[(k, 0, -1)] for k in sorted(live)}
-        scores = {k: _expression(current[k], scale[k], names) for k in live}
-        picked = F.lit(None).cast("double")
-        for k, e in scores.items():
-            picked = F.when(F.col("k") == k, e).otherwise(picked)
-        counted = accepted(tdc_table(by_model(rows).withColumn("_score", picked).where("_score is not null"), "_score", y, True, ["k"]), ["k"], fdr).collect()
+        current = {k: fitted[(k, 0, -1)] for k in asked}
+        now = current
+        found = accepted(rows, lambda b: [np.where(b.fold == k, np.nan, standard(b, k) @ now[k][:-1] + now[k][-1]) for k in asked], [Question(i) for i in range(len(asked))], fdr)
         rules, raw = {}, False
-        for r in counted:
-            k = r["k"]
-            passing[k] = int(r["passing"])
-            if r["threshold"] is None:
+        for k, a in zip(asked, found):
+            passing[k] = a.passing
+            if a.threshold is None:
                 live.discard(k)
             else:
-                rules[k] = (current[k], r["threshold"])
+                rules[k] = (current[k], a.threshold)
     out: dict[int, LinearModel | None] = {}
     for k in ks:
         better = k in live and k in current and (override or passing[k] > first_pass[k])
@@ -353,17 +370,12 @@ def _train(rows, by_model, best, feats, names, y, fdr, max_iter, direction, over
     return out
 
 
-def _moments(b: pd.DataFrame, names: list[str], ks: list[int]) -> np.ndarray:
+def _moments(b: Block, ks: list[int]) -> np.ndarray:
     """Of each fold the number, sum and sum of squares of each feature's values."""
-    x, fold = b[names].to_numpy(float), b["fold"].to_numpy()
+    x, fold = b.x, b.fold
     return np.concatenate([np.concatenate([np.sum(~np.isnan(x[fold == k]), 0), np.nansum(x[fold == k], 0), np.nansum(x[fold == k] ** 2, 0)]) for k in ks])
 
 
-def _expression(w: np.ndarray, scale: tuple[np.ndarray, np.ndarray], names: list[str]) -> Column:
-    terms = [_standard(F.col(n), float(m), float(s)) * float(a) for n, m, s, a in zip(names, *scale, w[:-1])]
-    return sum(terms, F.lit(float(w[-1])))
-
-
 def brew_joint(datasets: list[PsmDataset], **options: object) -> list[BrewResult]:
     """One training on several datasets with the same features; scores and confidence stay apart."""
     sets = [set(ds.roles.features) for ds in datasets]

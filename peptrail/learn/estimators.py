@@ -7,7 +7,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.operators.qvalues import tdc_table
+from peptrail.learn.blocks import pack
+from peptrail.learn.thresholds import Question, accepted
 
 
 class Scorer(Protocol):
@@ -58,8 +59,6 @@ def train_fold(rows: DataFrame, estimator: Estimator, features: list[str], targe
 
     Each turn fits accepted targets against decoys, scores all rows and accepts anew. None if a turn accepts no target.
     """
-    from peptrail.learn.brew import accepted
-
     name, descending, threshold = first
     score = (F.col(name) if descending else -F.col(name)).cast("double")
     current, scorer, passing = rows.withColumn("_score", score), None, 0
@@ -67,8 +66,10 @@ def train_fold(rows: DataFrame, estimator: Estimator, features: list[str], targe
         y = F.when(~F.col(target), 0).when(F.col("_score").cast("float") >= F.lit(threshold).cast("float"), 1)
         scorer = estimator.fit(current.withColumn("_y", y).where("_y is not null").drop("_score"), features, "_y")
         current = scorer.score(rows, "_score")
-        r = accepted(tdc_table(current, "_score", target), [], fdr).first()
-        passing, threshold = int(r["passing"]), r["threshold"]
+        blocks = pack(current, [F.col("_score")], F.col(target))
+        found = accepted(blocks, lambda b: [b.x[:, 0]], [Question(0)], fdr)[0]
+        blocks.close()
+        passing, threshold = found.passing, found.threshold
         if threshold is None:
             return None, 0
     return scorer, passing

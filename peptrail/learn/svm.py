@@ -2,25 +2,15 @@
 
 Each problem minimises |w|^2 / 2 + C sum c_i max(0, 1 - y_i w.x_i)^2, the bias being a penalised constant feature. A Newton step needs
 only X'DX and X'Dy of the rows within the margin, d x d numbers: the rows stay where they are, every pass adds up small matrices in
-the tasks, then in a few tasks, and the driver solves. All problems (folds, class weights, cross-validation parts) share each pass.
+the tasks, then in a tree, and the driver solves. All problems (folds, class weights, cross-validation parts) share each pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from peptrail.session import plan_bytes
-
-#: Tasks in which the partial matrices of all tasks are added up before the driver sees them.
-COMBINERS = 16
-#: Input of a task; beyond COMBINERS of them the sums take two steps.
-FEW_BYTES = 128 << 20
-
 
 @dataclass(frozen=True)
 class Problem:
@@ -31,31 +21,6 @@ class Problem:
     negative: float = 1.0
 
 
-
-
-def sum_arrays(df: DataFrame, per_batch: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum of per_batch's arrays over all rows of df: in tasks, then in COMBINERS tasks, then here."""
-
-    def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for b in batches:
-            if len(b):
-                total += per_batch(b)
-        yield pd.DataFrame({"v": [total]})
-
-    def combine(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for b in batches:
-            for v in b["v"]:
-                total += v
-        yield pd.DataFrame({"v": [total]})
-
-    parts = df.mapInPandas(partial, "v array<double>")
-    if plan_bytes(df) > COMBINERS * FEW_BYTES:
-        parts = parts.repartition(COMBINERS).mapInPandas(combine, "v array<double>")
-    return sum((np.asarray(r[0]) for r in parts.collect()), np.zeros(size))
-
-
 def margin_terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, positive: float, negative: float) -> tuple[np.ndarray, np.ndarray, float]:
     """X'DX, X'Dy and the loss of the rows within the margin; x has the constant 1 as its last column."""
     slack = 1 - y * (x @ w)
@@ -68,7 +33,7 @@ def margin_terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, positive: float, n
 def newton(problems: list[Problem], d: int, aggregate: Callable[[dict[tuple, np.ndarray]], dict[tuple, tuple[np.ndarray, np.ndarray, float]]], cost: float = 1.0, steps: int = 30, tolerance: float = 1e-7, start: dict[tuple, np.ndarray] | None = None) -> dict[tuple, np.ndarray]:
     """Weights (bias last) of each problem; ``aggregate`` gives margin_terms at given weights for all problems in one pass.
 
-    A step that doesn't lower the objective is halved. ``start``: weights to begin with, such as those of the labels before.
+    A step that doesn't lower the objective is halved. It ends where a step can gain no more than ``tolerance`` of the objective. ``start``: weights to begin with, such as those of the labels before.
     """
     w = {p.key: np.array((start or {}).get(p.key, np.zeros(d + 1))) for p in problems}
     good: dict[tuple, tuple[float, np.ndarray]] = {}
@@ -89,7 +54,12 @@ def newton(problems: list[Problem], d: int, aggregate: Callable[[dict[tuple, np.
             if done:
                 live.discard(k)
                 continue
-            w[k] = np.linalg.solve(np.eye(d + 1) + 2 * cost * gram, 2 * cost * right)
+            hessian, goal = np.eye(d + 1) + 2 * cost * gram, 2 * cost * right
+            w[k] = np.linalg.solve(hessian, goal)
+            move = w[k] - good[k][1]
+            if 0.5 * move @ (hessian @ move) <= tolerance * max(1.0, abs(value)):  # what this step can gain
+                good[k] = (value, w[k])
+                live.discard(k)
         if not live:
             break
     return {k: good[k][1] for k in w}

@@ -77,8 +77,9 @@ def reachable_levels(base: str) -> list[str]:
 def fold_split(df: DataFrame, groups: list[str], folds: int = 3, hash_column: Column | None = None, out: str = "fold") -> DataFrame:
     """df with a fold from 0, near-equal in size, never splitting rows that share ``groups``.
 
-    Groups are ordered by a hash and cut at the cumulative sizes; the running count is a two-phase scan. Null group values count as a
-    value. The hash is crc32 of the values' text unless ``hash_column`` gives another integer.
+    Groups are ordered by a hash and cut at the cumulative sizes; the running count is a two-phase scan, which gives the hash that each
+    fold begins with: rows get their fold by comparing, without a join. Null group values count as a value. The hash is crc32 of the
+    values' text unless ``hash_column`` gives another integer.
     """
     from peptrail.operators.prefix import bucketed, scan
 
@@ -90,8 +91,9 @@ def fold_split(df: DataFrame, groups: list[str], folds: int = 3, hash_column: Co
     at = ends.withColumn("_all", F.lit(0)).join(F.broadcast(total), "_all").withColumn("_start", F.col("_end") - F.col("_n"))
     size, more = F.floor(F.col("_total") / folds), F.col("_total") % folds
     cut = lambda i: size * i + F.least(more, F.lit(i))
-    fold = sum([(F.col("_start") >= cut(i)).cast("int") for i in range(1, folds)], F.lit(0))
-    return hashed.join(at.select("_h", fold.alias(out)), "_h").drop("_h")
+    begins = at.agg(*[F.min(F.when(F.col("_start") >= cut(i), F.col("_h"))).alias(f"_b{i}") for i in range(1, folds)], F.lit(0)).first()
+    fold = sum([F.lit(0) if b is None else (F.col("_h") >= F.lit(b)).cast("int") for b in begins[: folds - 1]], F.lit(0))
+    return hashed.withColumn(out, fold).drop("_h")
 
 
 def training_sample(df: DataFrame, parts: list[str], row_id: str, n: int, seed: int = 1) -> DataFrame:
