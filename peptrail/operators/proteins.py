@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,56 +11,42 @@ from pyspark.sql import functions as F
 from peptrail.functions.peptides import composition_key, strip_peptides
 from peptrail.operators.competition import best_per_group
 from peptrail.operators.packed_values import split_packed
+from peptrail.operators.skew import join_skewed
+from peptrail.session import cut_lineage
+
+log = logging.getLogger(__name__)
 
-#: Pairs of protein and peptide up to which grouping runs on the driver, in its exact greedy order.
-DRIVER_PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
 class ProteinTables:
-    """unique: (peptide, protein_group, founder) of peptides in exactly one group; shared: (peptide, groups); pairs: (target, decoy) proteins.
+    """unique: (peptide, founder) of peptides in exactly one group; shared: (peptide, founder) of the others, a row for each of their groups;
+    members: (founder, protein, n), n the member's peptides; pairs: (target, decoy) proteins.
 
-    ``founder`` is the group's first protein; it can't be read from ``protein_group``, as a protein's name may have a comma in it.
+    A group is known by its founder, the first of its members. Its name, all members' names strung together, is made only for output.
     """
 
     unique: DataFrame
     shared: DataFrame
+    members: DataFrame
     pairs: DataFrame
     decoy_prefix: str
     has_decoys: bool
 
+    @property
+    def names(self) -> DataFrame:
+        """(founder, protein_group, decoy_group): each group's name, and the one that its decoys would have. Members come by falling number of
+        peptides, then by name. A row is as long as the name is."""
+        order = F.struct((-F.col("n")).alias("n"), "protein")
+        of = F.array_sort(F.collect_list(order))["protein"]
+        named = self.members.groupBy("founder").agg(of.alias("of"))
+        prefixed = F.transform("of", lambda p: F.concat(F.lit(self.decoy_prefix), p))
+        return named.select("founder", F.array_join("of", ", ").alias("protein_group"), F.array_join(prefixed, ", ").alias("decoy_group"))
+
     @property
     def peptide_map(self) -> DataFrame:
         """(peptide, protein_group) of peptides in exactly one group."""
-        return self.unique.select("peptide", "protein_group")
-
-
-def greedy_members(peptides: dict[str, set[str]]) -> dict[str, list[str]]:
-    """Founder -> members of its group, itself first. Proteins come by falling number of peptides, then by name; one whose peptides all lie
-    in groups that exist joins each group that has them all, else it founds a group."""
-    groups: dict[str, list[str]] = {}
-    holders: dict[str, set[str]] = {}  # peptide -> founders of the groups that have it
-    for protein in sorted(peptides, key=lambda p: (-len(peptides[p]), p)):
-        mine = peptides[protein]
-        common = set.intersection(*(holders.get(x, set()) for x in mine)) if mine else set()
-        for founder in common:
-            groups[founder].append(protein)
-        if not common:
-            groups[protein] = [protein]
-            for x in mine:
-                holders.setdefault(x, set()).add(protein)
-    return groups
-
-
-def greedy_groups(peptides: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
-    """Protein -> names of its groups, by ``greedy_members``."""
-    groups = greedy_members(peptides)
-    names = {f: ", ".join(members) for f, members in groups.items()}
-    out: dict[str, list[str]] = {}
-    for f, members in groups.items():
-        for m in members:
-            out.setdefault(m, []).append(names[f])
-    return {p: tuple(sorted(g)) for p, g in out.items()}
+        return self.unique.join(self.names, "founder").select("peptide", "protein_group")
 
 
 def equal_sets(peptides: DataFrame) -> DataFrame:
@@ -76,15 +63,21 @@ def equal_sets(peptides: DataFrame) -> DataFrame:
 def parents_of_sets(peptides: DataFrame, twins: DataFrame) -> DataFrame:
     """(protein, parent): among proteins of different sets, those whose peptides are all peptides of a larger one.
 
-    Only proteins that have a protein's rarest peptide can be its parents; the others of its peptides are then counted.
+    Only proteins that have a protein's rarest peptide can be its parents. The holders of a hot peptide are spread over tasks, and a bitmap
+    of 128 hashed peptides a protein drops nearly all that can't be parents where they meet; the peptides of those left are counted.
     """
-    sets = peptides.distinct().join(twins.where("protein = twin").select("protein", "n"), "protein")
+    bit = lambda seed: F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(peptide, {seed}), 64) as int))"))
+    sets = peptides.select("protein", "peptide").distinct().join(twins.where("protein = twin").select("protein", "n"), "protein")
+    bits = sets.groupBy("protein").agg(bit(3).alias("b1"), bit(4).alias("b2"))
+    marked = cut_lineage(sets.join(bits, "protein"))
+    sets = marked.select("protein", "peptide", "n")
     spread = sets.groupBy("peptide").agg(F.count(F.lit(1)).alias("f"))
-    rare = sets.join(spread, "peptide").groupBy("protein", "n").agg(F.min_by("peptide", F.struct("f", "peptide")).alias("peptide"))
-    holders = sets.select("peptide", F.col("protein").alias("parent"), F.col("n").alias("m"))
-    candidates = rare.join(holders, "peptide").where("m > n").select("protein", "n", "parent")
+    rare = marked.join(spread, "peptide").groupBy("protein", "n", "b1", "b2").agg(F.min_by("peptide", F.struct("f", "peptide")).alias("peptide"))
+    holders = marked.select("peptide", F.col("protein").alias("parent"), F.col("n").alias("m"), F.col("b1").alias("p1"), F.col("b2").alias("p2"))
+    inside = (F.col("m") > F.col("n")) & (F.col("b1").bitwiseAND(F.bitwise_not("p1")) == 0) & (F.col("b2").bitwiseAND(F.bitwise_not("p2")) == 0)
+    candidates = join_skewed(holders, rare, "peptide", "parent", "inner").where(inside).select("protein", "n", "parent")
     asked = candidates.join(sets.select("protein", "peptide"), "protein")
-    has = asked.join(peptides.distinct().select(F.col("protein").alias("parent"), "peptide"), ["parent", "peptide"])
+    has = asked.join(sets.select(F.col("protein").alias("parent"), "peptide"), ["parent", "peptide"])
     return has.groupBy("protein", "n", "parent").agg(F.count(F.lit(1)).alias("s")).where("s = n").select("protein", "parent")
 
 
@@ -104,32 +97,24 @@ def contained_proteins(peptides: DataFrame) -> DataFrame:
 def group_proteins(peptides: DataFrame, decoy_prefix: str = "decoy_", has_decoys: bool = True) -> ProteinTables:
     """Groups of proteins that the peptides can't tell apart, from (protein, peptide).
 
-    Up to DRIVER_PAIRS pairs (a count that stops there decides) the greedy order is followed on the driver. Beyond that each protein
-    joins those of its parents that have no parent themselves. Both give the same rows: a protein founds a group exactly if no other has
-    all its peptides and more, and none before it by name the same; members come by falling number of peptides, then by name.
+    A protein founds a group if no other has all its peptides and more, and none before it by name the same ones; every other protein
+    belongs to each group whose founder has all its peptides. Nulls don't take part; repeated pairs count once; extra columns are passed over.
     """
-    spark = peptides.sparkSession
-    peptides = peptides.select("protein", "peptide").distinct()
-    if peptides.limit(DRIVER_PAIRS + 1).count() > DRIVER_PAIRS:
-        twins = equal_sets(peptides)
-        inside = parents_of_sets(peptides, twins)
-        free = twins.where("protein = twin").select("protein").join(inside.select("protein").distinct(), "protein", "left_anti").select(F.col("protein").alias("parent"))
-        roots = inside.join(free, "parent").unionByName(free.select("parent", F.col("parent").alias("protein")))
-        members = twins.select("protein", "twin", "n").join(roots.withColumnRenamed("protein", "twin"), "twin").select("parent", "protein", "n")
-        names = members.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("n"), "protein")))["protein"], ", ").alias("protein_group"))
-        of = members.join(names, "parent").select("protein", F.col("parent").alias("founder"), "protein_group")
-    else:
-        sets: dict[str, set[str]] = {}
-        for r in peptides.collect():
-            sets.setdefault(r["protein"], set()).add(r["peptide"])
-        rows = [(m, f, ", ".join(members)) for f, members in greedy_members(sets).items() for m in members]
-        of = spark.createDataFrame(rows, "protein string, founder string, protein_group string")
-    per = peptides.join(of, "protein").groupBy("peptide").agg(F.array_sort(F.collect_set(F.struct("protein_group", "founder"))).alias("groups"))
-    unique = per.where(F.size("groups") == 1).select("peptide", F.col("groups")[0]["protein_group"].alias("protein_group"), F.col("groups")[0]["founder"].alias("founder"))
-    shared = per.where(F.size("groups") > 1).select("peptide", F.array_join("groups.protein_group", "; ").alias("groups"))
+    # made once: a dozen steps start from the pairs
+    peptides = cut_lineage(peptides.select("protein", "peptide").where("protein is not null and peptide is not null").distinct())
+    twins = cut_lineage(equal_sets(peptides))
+    inside = cut_lineage(parents_of_sets(peptides, twins))
+    free = twins.where("protein = twin").select("protein").join(inside.select("protein").distinct(), "protein", "left_anti").select(F.col("protein").alias("founder"))
+    roots = inside.withColumnRenamed("parent", "founder").join(free, "founder").unionByName(free.select("founder", F.col("founder").alias("protein")))
+    members = cut_lineage(twins.join(roots.withColumnRenamed("protein", "twin"), "twin").select("founder", "protein", "n"))
+    # the founders' peptides are all there are; a peptide is in as many groups as founders have it
+    of = peptides.join(members.where("founder = protein").select("founder", "protein"), "protein").select("peptide", "founder")
+    per = of.groupBy("peptide").agg(F.min("founder").alias("founder"), F.max("founder").alias("last"))
+    unique = per.where("founder = last").select("peptide", "founder")
+    shared = of.join(per.where("founder <> last").select("peptide"), "peptide", "left_semi")
     targets = peptides.select("protein").distinct().where(~F.col("protein").startswith(decoy_prefix))
     pairs = targets.select(F.col("protein").alias("target"), F.concat(F.lit(decoy_prefix), "protein").alias("decoy"))
-    return ProteinTables(unique, shared, pairs, decoy_prefix, has_decoys)
+    return ProteinTables(unique, shared, members, pairs, decoy_prefix, has_decoys)
 
 
 def match_decoys(decoys: DataFrame, targets: DataFrame, peptide: str = "peptide", seed: int | None = 1) -> DataFrame:
@@ -149,30 +134,36 @@ def match_decoys(decoys: DataFrame, targets: DataFrame, peptide: str = "peptide"
 def picked_proteins(psms: DataFrame, proteins: ProteinTables, peptide: str, score: str, target: str, row_id: str, seed: int = 1, check: bool = True) -> DataFrame:
     """(protein_group, best_peptide, stripped_sequence, score, target): the better of each pair of target and decoy protein group.
 
-    Peptides that belong to no single group are left out; shared ones are expected, but if more than 10 % of the others can't be matched a
-    ValueError says so. Without decoys in the database, decoy peptides are matched to targets with the same residues.
+    Peptides that belong to no single group are left out; shared ones are expected, but if the others that can't be matched are more than
+    10 % of the rows, or of decoys 5 %, a ValueError says so. Without decoys in the database, decoy peptides are matched to targets with the same residues.
     """
     seq = "stripped_sequence"
     every = strip_peptides(psms, peptide)
     # the best of a pair is the best of its sequences' best rows, so a hot peptide is one row before any join
     bare = best_per_group(every, [seq, target], score, None, [row_id])
-    by_target = bare.join(proteins.unique.withColumnRenamed("peptide", seq), seq, "left")
+    by_target = bare.join(proteins.unique.withColumnRenamed("peptide", seq), seq, "left").withColumn("_matched", F.lit(False))
     if not proteins.has_decoys:
-        found = match_decoys(bare.where(~F.col(target)).select(F.col(seq).alias("peptide")), proteins.peptide_map)
-        prefixed = F.array_join(F.transform(F.split("protein_group", ", "), lambda p: F.concat(F.lit(proteins.decoy_prefix), p)), ", ")
-        decoy_map = found.join(proteins.unique.withColumnRenamed("peptide", "target"), "target").select(F.col("decoy").alias(seq), prefixed.alias("_decoy_group"), F.col("founder").alias("_decoy_founder"))
-        by_target = by_target.join(decoy_map, seq, "left").withColumns({c: F.when(F.col(target), F.col(c)).otherwise(F.col(d)) for c, d in (("protein_group", "_decoy_group"), ("founder", "_decoy_founder"))}).drop("_decoy_group", "_decoy_founder")
+        found = match_decoys(bare.where(~F.col(target)).select(F.col(seq).alias("peptide")), proteins.unique, seed=seed)
+        decoy_map = found.join(proteins.unique.withColumnRenamed("peptide", "target"), "target").select(F.col("decoy").alias(seq), F.col("founder").alias("_decoy_founder"))
+        by_target = by_target.join(decoy_map, seq, "left").withColumn("founder", F.when(F.col(target), F.col("founder")).otherwise(F.col("_decoy_founder"))).withColumn("_matched", ~F.col(target)).drop("_decoy_founder")
     if check:
-        unknown = by_target.where(F.col("protein_group").isNull()).join(proteins.shared.withColumnRenamed("peptide", seq), seq, "left_anti").select(seq, target)
-        rows = every.groupBy(seq, target).agg(F.count(F.lit(1)).alias("_n"))
-        lost = rows.join(unknown, [seq, target], "left_semi").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        if lost > 0.1 * max(1, psms.count()):
-            raise ValueError(f"{lost} rows' peptides are in no protein of the database; was it digested like the spectra's sample?")
-    known = by_target.where(F.col("protein_group").isNotNull())
-    first = F.col("founder")
-    pair = F.when(first.startswith(proteins.decoy_prefix), F.substring(first, F.lit(len(proteins.decoy_prefix) + 1), F.length(first))).otherwise(first)
+        counted = every.groupBy(seq, target).agg(F.count(F.lit(1)).alias("_n"))
+        unknown = by_target.where(F.col("founder").isNull()).join(proteins.shared.select(F.col("peptide").alias(seq)), seq, "left_anti").select(seq, target, F.lit(1).alias("_lost"))
+        gone, decoy = F.col("_lost") == 1, ~F.col(target)
+        total = lambda on: F.coalesce(F.sum(F.when(on, F.col("_n"))), F.lit(0))
+        lost, n, lost_decoys, decoys = counted.join(unknown, [seq, target], "left").agg(total(gone), total(F.lit(True)), total(gone & decoy), total(decoy)).first()
+        if lost > 0.1 * max(1, n):
+            raise ValueError(f"{lost} of {n} rows' peptides are in no protein of the database; was it digested like the spectra's sample?")
+        if proteins.has_decoys and lost_decoys > 0.05 * max(1, decoys):
+            raise ValueError(f"{lost_decoys} of {decoys} decoys are in no protein of the database; does it have the decoys that were searched?")
+        if lost:
+            log.warning("%d of %d rows' peptides are in no protein of the database", lost, n)
+    known = by_target.where(F.col("founder").isNotNull())
+    first, prefix = F.col("founder"), proteins.decoy_prefix
+    pair = F.when(first.startswith(prefix), F.substring(first, F.lit(len(prefix) + 1), F.length(first))).otherwise(first)
     best = best_per_group(known.withColumn("_pair", pair), ["_pair"], score, target, [row_id])
-    return best.select("protein_group", F.col(peptide).alias("best_peptide"), seq, score, target)
+    name = F.when(F.col("_matched"), F.col("decoy_group")).otherwise(F.col("protein_group"))
+    return best.join(proteins.names, "founder").select(name.alias("protein_group"), F.col(peptide).alias("best_peptide"), seq, score, target)
 
 
 def proteins_from_column(psms: DataFrame, peptide: str, proteins: str) -> DataFrame:

@@ -11,13 +11,14 @@ SHARE_ROWS = 200_000
 MOST_HOT = 1_000
 
 
-def join_skewed(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "left", share_rows: int = SHARE_ROWS) -> DataFrame:
+def join_skewed(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "left", share_rows: int | None = None) -> DataFrame:
     """big joined with small on ``key``; the rows of a hot key are spread by a hash of the column ``spread``.
 
     Hot keys are the MOST_HOT largest among those with more than ``share_rows`` rows, so their broadcast list has a fixed bound. Each of
     their rows gets one of ``ceil(n / share_rows)`` salts, and small's rows of that key are repeated once a salt. Spark may still turn the
     join into a broadcast join where small proves small. Null keys match nothing. small must have ``key`` only once a wanted match.
     """
+    share_rows = SHARE_ROWS if share_rows is None else share_rows
     hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share_rows).orderBy(F.desc("_n"), key).limit(MOST_HOT)
     hot = F.broadcast(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / share_rows).cast("int").alias("_salts")))
     left = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hot", "_salts")

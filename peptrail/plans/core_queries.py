@@ -27,7 +27,6 @@ BINS = 100
 # The records: scored rows with peptide, spectrum (run and scan) and target.
 PSM_SQL = """SELECT row_id, run_id, scannr, expmass, calcmass, peptide, proteins, label = 1 AS target, refactoredxcorr AS score, absdm
     FROM psms WHERE refactoredxcorr IS NOT NULL AND NOT isnan(refactoredxcorr) AND peptide IS NOT NULL AND label IS NOT NULL"""
-MATCH_SQL = "SELECT DISTINCT l_suppkey::VARCHAR AS protein, l_partkey::VARCHAR AS peptide FROM lineitem"
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,10 +38,6 @@ def _psm(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("row_id", "run_id", "scannr", "expmass", "calcmass", "peptide", "proteins", (F.col("label") == 1).alias("target"), F.col("refactoredxcorr").alias("score"), "absdm")
 
 
-def _matches(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("protein"), F.col("l_partkey").cast("string").alias("peptide")).distinct()
-
-
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -237,47 +232,12 @@ def fasta_export(spark: SparkSession, sf: str) -> DataFrame:
     return fasta_lines(_sequences(spark, sf).withColumn("protein", F.col("row_id").cast("string")))
 
 
-def protein_groups_unique_shared(spark: SparkSession, sf: str) -> DataFrame:
-    """Peptides by how many proteins they are in."""
-    per = _matches(spark, sf).groupBy("peptide").agg(F.count(F.lit(1)).alias("n_proteins"), F.min("protein").alias("first_protein"))
-    return per.select("peptide", (F.col("n_proteins") == 1).alias("unique_peptide"), "n_proteins", "first_protein")
-
-
-def protein_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers (as proteins) whose kinds of orders (as peptides) are all among those of another one."""
-    return prot.contained_proteins(_few_peptides(spark, sf))
-
-
-def _few_peptides(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("protein"), F.concat_ws("-", "o_orderpriority", F.col("o_custkey") % 7).alias("peptide")).distinct()
-
-
-def protein_subset_grouping(spark: SparkSession, sf: str) -> DataFrame:
-    bare = _psm(spark, sf).withColumn("peptide", pep_fn.bare_peptide(F.col("peptide")))
-    return prot.group_proteins(prot.proteins_from_column(bare, "peptide", "proteins")).peptide_map
-
-
 def decoy_matching(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of odd orders matched to those of even ones whose keys have the same digits."""
     p = _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("peptide"), (F.col("o_orderkey") % 2 == 0).alias("target"))
     return prot.match_decoys(p.where("not target"), p.where("target"), seed=None)
 
 
-def picked_protein(spark: SparkSession, sf: str) -> DataFrame:
-    """The best record of each pair of target and decoy supplier."""
-    df = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", ((F.col("l_partkey") + F.col("l_linenumber")) % 2 == 0).alias("target"), F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    best = comp.best_per_group(df, ["l_suppkey"], "score", "target", ["id"])
-    return best.select("l_suppkey", "target", "score", "id")
-
-
-def picked_protein_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Proteins of the records themselves: groups from packed names, competition of target and decoy groups."""
-    psm = _winners(spark, sf)
-    bare = pep_fn.strip_peptides(psm, "peptide").withColumn("peptide", F.col("stripped_sequence")).drop("stripped_sequence")
-    tables = prot.group_proteins(prot.proteins_from_column(bare, "peptide", "proteins"))
-    return prot.picked_proteins(bare, tables, "peptide", "score", "target", "row_id", check=False)
-
-
 def flashlfq_export(spark: SparkSession, sf: str) -> DataFrame:
     runs = _t(spark, sf, "msms_runs").select("run_id", F.concat(F.lit("/data/"), "base_name", F.coalesce("raw_data", F.lit(""))).alias("file"))
     psm = _winners(spark, sf).join(runs, "run_id").withColumn("rt", F.col("scannr") / 100.0).withColumn("charge", F.lit(2))
@@ -355,7 +315,7 @@ QUERIES = {
         tdc_qvalues, tdc_qvalues_asc, qvalues_from_counts, qvalues_from_peps, qvalues_from_peps_all, qvalues_hist, streaming_confidence, stream_event_histogram, td_histogram, score_statistics, bin_edges,
         update_labels, training_set, psm_competition, no_dedup, rollup_multi_level, peptide_confidence, target_decoy_split, discovery_curve, entity_counts, best_feature, fold_split,
         calibrate_scores, linear_score, zscore_features, nan_feature_probe, role_inference, label_coercion, composition_key, strip_peptides, base_sequence, digest_kr, digest_trypsin,
-        decoy_proteins, fasta_export, protein_groups_unique_shared, protein_containment, protein_subset_grouping, decoy_matching, picked_protein, picked_protein_groups, flashlfq_export,
+        decoy_proteins, fasta_export, decoy_matching, flashlfq_export,
         open_mod_bins, mz_error, one_hot_charge, log_transform, safe_division, file_names, pi0_slope, pep_hist, pep_kde, pep_qvality, brew_scores, end_to_end,
     )
 }
@@ -428,15 +388,8 @@ ORACLES = {
         i AS (SELECT row_id, p, unnest(range(1, len(p) + 1)) AS i FROM s), w AS (SELECT row_id, unnest([CASE WHEN i + n <= len(p) THEN array_to_string(p[i:i + n], '') END FOR n IN [0, 1, 2]]) AS peptide FROM i)
         SELECT DISTINCT row_id, peptide FROM w WHERE length(peptide) BETWEEN 4 AND 40""",
     "fasta_export": f"SELECT '>' || row_id || chr(10) || trim({_BARE}, '-') AS value FROM psms WHERE peptide IS NOT NULL",
-    "protein_groups_unique_shared": f"SELECT peptide, count(*) = 1 AS unique_peptide, count(*)::BIGINT AS n_proteins, min(protein) AS first_protein FROM ({MATCH_SQL}) GROUP BY peptide",
-    "protein_containment": """WITH m AS (SELECT DISTINCT o_custkey::VARCHAR AS protein, o_orderpriority || '-' || (o_custkey % 7) AS peptide FROM orders), n AS (SELECT protein, list(peptide ORDER BY peptide) AS p, count(*) AS n FROM m GROUP BY 1),
-        t AS (SELECT protein, n, p, min(protein) OVER (PARTITION BY p) AS twin FROM n), u AS (SELECT DISTINCT twin, n, p FROM t),
-        k AS (SELECT a.twin, b.twin AS parent, b.n AS m FROM u a JOIN u b ON b.n > a.n AND list_has_all(b.p, a.p)), r AS (SELECT twin, parent FROM (SELECT *, row_number() OVER (PARTITION BY twin ORDER BY m DESC, parent) AS rn FROM k) WHERE rn = 1)
-        SELECT protein, n::BIGINT AS n_peptides, twin, parent FROM t LEFT JOIN r USING (twin)""",
     "decoy_matching": """WITH p AS (SELECT DISTINCT o_orderkey % 2 = 0 AS target, o_custkey::VARCHAR AS peptide FROM orders), r AS (SELECT target, peptide, array_to_string(list_sort(string_split(peptide, '')), '') AS k FROM p),
         n AS (SELECT *, row_number() OVER (PARTITION BY target, k ORDER BY peptide) AS rn FROM r) SELECT d.peptide AS decoy, t.peptide AS target FROM n d JOIN n t ON d.k = t.k AND d.rn = t.rn AND NOT d.target AND t.target""",
-    "picked_protein": """SELECT l_suppkey, target, score, id FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, target ASC, id) AS rn FROM
-        (SELECT l_suppkey, (l_partkey + l_linenumber) % 2 = 0 AS target, l_extendedprice AS score, l_orderkey * 10 + l_linenumber AS id FROM lineitem)) WHERE rn = 1""",
     "flashlfq_export": f"""WITH w AS ({WINNERS_SQL}), {tdc_sql('SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY peptide ORDER BY score DESC, target ASC, row_id) AS rk FROM w) WHERE rk = 1')}
         SELECT base_name || coalesce(raw_data, '') AS "File Name", {_BARE} AS "Base Sequence", peptide AS "Full Sequence", calcmass AS "Peptide Monoisotopic Mass", scannr / 100.0::DOUBLE AS "Scan Retention Time",
         2::INTEGER AS "Precursor Charge", replace(proteins, chr(9), '; ') AS "Protein Accession" FROM src JOIN q ON score::FLOAT = s JOIN msms_runs USING (run_id) WHERE target AND q <= 0.05 AND proteins IS NOT NULL""",

@@ -10,6 +10,7 @@ from peptrail.operators.nested_records import flatten_children, linked_tables
 from peptrail.operators.packed_values import split_packed
 from peptrail.operators.reject_rows import load_lines
 from peptrail.operators.schema_drift import changes, unify
+from peptrail.plans.packed_sql import SPLIT_SQL
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +60,7 @@ def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_peptide_totals, p3_found, p3_clean, p4_found, p4_hits, p5_found, p5_unified)}
 
 ORACLES = {
+    "p1_found": f"WITH {SPLIT_SQL} SELECT row_id, pos, protein FROM p1",
     "p2_found": """
         SELECT peptide, row_id FROM (
           SELECT peptide, row_id, row_number() OVER (PARTITION BY peptide ORDER BY refactoredxcorr DESC, row_id) AS rn

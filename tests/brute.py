@@ -65,3 +65,16 @@ def split_packed(field: str | None) -> list[str]:
             out.append(value)
         i = j + 1
     return out
+
+
+def protein_groups(peptides: dict[str, set[str]]) -> dict[str, list[str]]:
+    """Founder -> members of its group, itself first, one protein after the other: by falling number of peptides, then by name; one whose
+    peptides all lie in a group joins each such group, else it founds one."""
+    groups: dict[str, list[str]] = {}
+    for p in sorted(peptides, key=lambda p: (-len(peptides[p]), p)):
+        above = [f for f in groups if peptides[p] <= peptides[f]]
+        for f in above:
+            groups[f].append(p)
+        if not above:
+            groups[p] = [p]
+    return groups

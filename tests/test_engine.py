@@ -7,6 +7,7 @@ import sqlite3
 import numpy as np
 import pandas as pd
 import pytest
+import brute
 from compare import TABLES
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from peptrail.functions import search_features as sf
 from peptrail.learn.brew import LinearModel, best_features, brew, brew_joint, load_models, save_models
 from peptrail.learn.svm import fit_local
 from peptrail.operators import competition as comp
-from peptrail.operators import proteins
-from peptrail.operators.proteins import contained_proteins, greedy_groups, group_proteins, match_decoys, picked_proteins
+from peptrail.operators import proteins, skew
+from peptrail.operators.proteins import contained_proteins, group_proteins, match_decoys, picked_proteins
 from peptrail.plans import core_queries
 from peptrail.roles import infer_roles
 from peptrail.sinks.writers import fasta_lines, output_path, to_flashlfq, write_sqlite, write_table
@@ -144,16 +145,12 @@ def test_folds_and_samples(spark):
     assert [r["count"] for r in s.groupBy("part").count().collect()] == [100, 100] and s.distinct().count() == 200
 
 
-def test_proteins(spark, tmp_path, monkeypatch):
-    groups = greedy_groups({"a": {"1", "2", "3"}, "b": {"1", "2"}, "c": {"3", "4"}, "d": {"1", "2", "3"}, "e": {"9"}})
-    assert groups["a"] == groups["d"] == ("a, d, b",)
+def test_proteins(spark, tmp_path):
     m = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "2"), ("c", "3")], "protein string, peptide string")
     more = m.union(spark.createDataFrame([("a2", "1"), ("a2", "2"), ("a2", "2")], m.schema))
     assert {tuple(r) for r in contained_proteins(more).collect()} == {("a", 2, "a", None), ("a2", 2, "a", None), ("b", 1, "b", "a"), ("c", 2, "c", None)}
     t = group_proteins(m)
-    monkeypatch.setattr(proteins, "DRIVER_PAIRS", 1)
-    assert sorted(map(tuple, group_proteins(m).peptide_map.collect())) == sorted(map(tuple, t.peptide_map.collect()))
-    assert {tuple(r) for r in t.peptide_map.collect()} == {("1", "a, b"), ("3", "c")} and {tuple(r) for r in t.shared.collect()} == {("2", "a, b; c")}
+    assert {tuple(r) for r in t.peptide_map.collect()} == {("1", "a, b"), ("3", "c")} and {tuple(r) for r in t.shared.collect()} == {("2", "a"), ("2", "c")}
     d = spark.createDataFrame([("ABC",), ("CAB",), ("XY",)], ["peptide"])
     g = spark.createDataFrame([("BCA",), ("ACB",), ("ZZ",)], ["peptide"])
     assert {r["target"] for r in match_decoys(d, g).collect()} == {"BCA", "ACB"}
@@ -183,16 +180,30 @@ def test_protein_names_are_split_like_any_packed_field(spark):
     assert {(r["protein_group"], r["best_peptide"]) for r in picked.collect()} == {("decoy_A", "P4"), ("D k, type 2", "P6"), ("decoy_D k, type 1", "P7")}
 
 
-def test_protein_groups_are_the_same_at_any_size(spark, monkeypatch):
-    rng = np.random.default_rng(4)
+@pytest.mark.parametrize("seed", [4, 5])
+def test_protein_groups_as_one_by_one(spark, monkeypatch, seed):
+    monkeypatch.setattr(skew, "SHARE_ROWS", 3)  # hot peptides are spread
+    rng = np.random.default_rng(seed)
     rows = {(p, x) for p, n, of in zip("zyxwvutsrqponmlkjihg", [8, 6, 5, 4, 3, 3, 2, 2, 1, 1] * 2, [8] * 10 + [12] * 10) for x in rng.choice(of, n, replace=False).astype(str)}
-    rows |= {("z1", x) for p, x in rows if p == "z"} | {("a", "0"), ("b", "0"), ("b", "1"), ("c", "11"), ("d", "only")}
-    m = spark.createDataFrame(sorted(rows), "protein string, peptide string")
-    found = lambda t: [sorted(map(tuple, d.collect())) for d in (t.unique, t.shared)]
-    few = found(group_proteins(m))
-    assert any(g.count(", ") > 2 and g.split(", ") != sorted(g.split(", ")) for _, g, _ in few[0]) and few[1]
-    monkeypatch.setattr(proteins, "DRIVER_PAIRS", 1)
-    assert found(group_proteins(m)) == few
+    rows |= {("z1", x) for p, x in rows if p == "z"} | {("a", "0"), ("b", "0"), ("b", "1"), ("c", "11"), ("d", "only"), ("x, y", "1")}
+    t = group_proteins(spark.createDataFrame([*sorted(rows), ("a", "0"), (None, "0"), ("e", None)], "protein string, peptide string"))
+    sets = {p: {x for q, x in rows if q == p} for p, _ in rows}
+    groups = brute.protein_groups(sets)
+    assert {(r["founder"], r["protein_group"]) for r in t.names.collect()} == {(f, ", ".join(m)) for f, m in groups.items()}
+    of = {x: sorted(f for f in groups if x in sets[f]) for s in sets.values() for x in s}
+    assert {tuple(r) for r in t.unique.collect()} == {(x, f[0]) for x, f in of.items() if len(f) == 1}
+    assert {tuple(r) for r in t.shared.collect()} == {(x, f) for x, fs in of.items() if len(fs) > 1 for f in fs}
+    assert any(len(m) > 2 for m in groups.values())
+
+
+def test_unmatched_decoys_are_an_error(spark):
+    t = group_proteins(spark.createDataFrame([("a", f"P{'A' * i}") for i in range(40)] + [("decoy_a", "PQ")], "protein string, peptide string"))
+    rows = [(i, f"P{'A' * i}", 1.0, True) for i in range(38)] + [(50, "PQ", 1.0, False), (51, "PZ", 1.0, False)]
+    psms = spark.createDataFrame(rows, "id long, peptide string, score double, target boolean")
+    with pytest.raises(ValueError, match="decoys"):
+        picked_proteins(psms, t, "peptide", "score", "target", "id")
+    assert picked_proteins(psms.where("id <> 51"), t, "peptide", "score", "target", "id").count() == 1
+    assert picked_proteins(psms.limit(0), t, "peptide", "score", "target", "id").count() == 0
 
 
 def test_svm_matches_gradient_zero():

@@ -3,17 +3,17 @@
 import pytest
 from compare import TABLES, same
 
-from peptrail.plans import core_queries, data_queries
+from peptrail.plans import core_queries, data_queries, protein_queries
 
-QUERIES = core_queries.QUERIES | data_queries.QUERIES
-ORACLES = core_queries.ORACLES | data_queries.ORACLES
+QUERIES = core_queries.QUERIES | protein_queries.QUERIES | data_queries.QUERIES
+ORACLES = core_queries.ORACLES | protein_queries.ORACLES | data_queries.ORACLES
 SLOW = {"brew_scores", "end_to_end"}
 
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="the tables aren't here")
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES) and not set(core_queries.QUERIES) & set(data_queries.QUERIES)
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == sum(len(m.QUERIES) for m in (core_queries, protein_queries, data_queries))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
