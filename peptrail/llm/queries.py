@@ -12,6 +12,10 @@ from peptrail.llm.sentences import sentence_units
 APART = (("mt_feed", "ocr_backfile"),)
 
 
+#: Sources that are repeated come late, the machine's own output comes early.
+SCHEDULES = {"mt_feed": ((0.0, 2.0), (1.0, 0.0)), "ocr_backfile": ((0.0, 1.5), (1.0, 0.5)), "examiner_notes": ((0.0, 0.2), (1.0, 1.8)), "standards_annex": ((0.0, 0.2), (1.0, 1.8))}
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -28,12 +32,12 @@ def p6_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """The mixture in training order."""
-    return mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[0]
+    return mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"), schedules=SCHEDULES)[0]
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual shares."""
-    return mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1]
+    return mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"), schedules=SCHEDULES)[1]
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,10 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges of these rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that are encoded at once; longer texts are cut before a blank where there is one, which moves a token border at most.
+#: Characters that are encoded at once, about. A longer text is cut where the pattern has a border whatever stands around: behind a letter or
+#: digit where another kind of character follows, and between a visible character and a blank. So its tokens are those of the whole.
 BLOCK = 500_000
+_BORDER = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
 
 
 @lru_cache(maxsize=4)
@@ -27,16 +30,15 @@ def encoder(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
+def count_tokens(text: str | None, path: str = TOKENIZER, block: int = BLOCK) -> int:
     """Tokens of a text; 0 for null and empty text."""
     if not text:
         return 0
     e, n, a = encoder(path), 0, 0
     while a < len(text):
-        b = min(len(text), a + BLOCK)
-        if b < len(text):
-            blank = max(text.rfind(" ", a + 1, b), text.rfind("\n", a + 1, b))
-            b = blank if blank > a else b
+        b = len(text)
+        if b - a > block and (cut := _BORDER.search(text, a + block)):
+            b = cut.start()
         n += len(e.encode_ordinary(text[a:b]))
         a = b
     return n
