@@ -1,8 +1,9 @@
 """From text to events: the places where a sentence may end, begin or be protected, each classified by its nearest neighbours.
 
 An event is (position, kind, argument); what it means depends on what came before, which is the transducer's business
-(boundary_machine). The classification looks at most CONTEXT characters to either side, so a text can be cut anywhere and each part be
-classified alone, given that much of its neighbours.
+(boundary_machine). Whether a mark can end a sentence is read off the compiled table of boundary_rules, by the classes of what stands before
+and behind it. The classes look back at most CONTEXT characters from the mark's token, and ahead over closing marks and blanks, however many,
+to the next word; so a text can be cut between any two letters, and each part be read alone given CONTEXT characters of its neighbours.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
-CONTEXT = 96
+from peptrail.llm.boundary_rules import CLOSED, FULL, FULL_RULES, GO_ON_WORDS, MAY_END_WORDS, NONE, ORDINAL_WORDS, PARTS, PERIOD, PERIOD_RULES, SHOUT, SHOUT_RULES, compile_rules
+
+CONTEXT = 256
 
 # Kinds of events.
 PARA, OPEN, CLOSE, QUOTE, CLAIM, STRONG, AFTER_CLOSER, THAI_GAP = range(8)
@@ -24,24 +27,6 @@ TERMINATORS = ".!?。！？｡．…؟۔।॥"
 #: Terminators of scripts without capital letters; they need no blank after them.
 FULL_STOPS = "。！？｡．؟۔।॥"
 
-# Abbreviations that a sentence goes on after, in lower case without the last period.
-GO_ON = frozenset(
-    """
-    fig figs no nos nr dr prof cf e.g i.e ex exs sect sects vol vols pp p col cols l ll approx ca vs pat appl pub ser mr mrs ms st eq eqs ref refs
-    resp chap para paras abb abs tab z.b d.h o.g u.a vgl bzw ggf sog s.o s.u gem dipl dipl.-ing dr.-ing ing art bd hrsg kap lit ziff anm
-    p.ex env éch mme mlle réf ap cap núm ej p.ej aprox sr sra srta dra ud uds pág págs ee
-    рис стр см инж табл ок т.е напр п пп проф акад им гл разд т ст ср тел
-    د डॉ प्रो पृ सं उदा क्र चि พ.ศ ค.ศ ดร
-    """.split()
-)
-# Abbreviations that may also end a sentence; what follows decides.
-MAY_END = frozenset(
-    """
-    etc usw al corp co ltd inc gmbh s.a c.v p.m a.m u.s u.s.a uu in lb lbs oz ft kg wt др т.д т.п кг г гг ff f jr bros
-    """.split()
-)
-# Words before a number that make it an ordinal where a capital follows ("im 17. Kapitel").
-BEFORE_ORDINAL = frozenset("der die das dem den des im am vom zum zur beim ins einer eines einem".split())
 # Signs behind which a single letter is part of a formula, not an initial.
 _OPERATORS = "+-=/*·×→←<>≤≥|^_\\"
 
@@ -58,6 +43,10 @@ _THAI_SCRIPT = re.compile("[฀-๎]")
 _THAI_GAP = re.compile(r"(?<=[฀-๎])[^\S\n\r]+(?=[฀-๎])")
 _CLOSERS = re.compile(r"(?:[)\]}”’'」』）】》〉］｝]|(?:[  ]?[»›])|\"(?=[\s)\]}»”.,;:!?]|\Z)|“(?=[\s.,;:)]|\Z))*")
 _CLAIM_NEXT = re.compile(r"\s+((?:\[|\()?\d{1,4}[.)\]．）]\s+|【[^【】\n]{0,12}\d{1,4}[^【】\n]{0,4}】)(?=\S)")
+_FULL, _FW = compile_rules(FULL, FULL_RULES)
+_SHOUT, _SW = compile_rules(SHOUT, SHOUT_RULES)
+_PERIOD, _PW = compile_rules(PERIOD, PERIOD_RULES)
+_KIND = {CLOSED: AFTER_CLOSER}
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 _OPENERS = "\"“„«‹「『(（[［【{｛《〈¿¡'‘"
 #: An elided article ("d'env."), and a run of ideographs, kana or Hangul that Latin letters follow.
@@ -88,14 +77,14 @@ def _script(c: str) -> str:
     return "latin" if o < 0x250 else "greek" if o < 0x400 else "cyrillic" if o < 0x530 else "thai" if 0xE00 <= o < 0xE80 else "other"
 
 
-def _begins(text: str, m: int, last: str) -> str:
-    """How the text from m looks: 'U' like the begin of a sentence, 'o' caseless, 'd' a number, '' like a continuation."""
+def _begins(text: str, m: int) -> str:
+    """The right class from m: U like the begin of a sentence, o caseless, d a number, l a lower-case word, - none of these."""
     n = len(text)
     k = m
     while k < n and text[k] in _OPENERS and k - m < 4:
         k += 1
     if k >= n:
-        return ""
+        return "-"
     c = text[k]
     kind = _class(c)
     if kind in "Uod":
@@ -103,12 +92,17 @@ def _begins(text: str, m: int, last: str) -> str:
     if kind == "l":
         word = re.match(r"[^\W\d_]+", text[k : k + 24])
         w = word.group(0) if word else c
-        if any(x.isupper() for x in w[1:]):
+        if any(x.isupper() for x in w[1:]) or (_script(c) == "greek" and text[k + 1 : k + 2] in ("-", "‑")):
             return "U"
-        if _script(c) == "greek" and text[k + 1 : k + 2] in ("-", "‑"):
-            return "U"
-        return ""
-    return ""
+        return "l" if k == m else "-"
+    return "-"
+
+
+def _prev_class(c: str) -> str:
+    kind = _class(c)
+    if kind == "o":
+        return "t" if _script(c) == "thai" else "o"
+    return "c" if c in "%°'’)]}" else kind
 
 
 def _terminator(text: str, i: int, j: int) -> tuple[int, int] | None:
@@ -122,97 +116,93 @@ def _terminator(text: str, i: int, j: int) -> tuple[int, int] | None:
     if run[-1] == "…" and run[0] == "…" and not after.isspace():
         return None
     if len(run) > 1 and "…" in run and run[0] != "…":
-        j = i + run.index("…")
-        run = text[i:j]
-        after = text[j]
-        return (j, STRONG)
+        return (i + run.index("…"), STRONG)
     # most often a blank and a word follow
     k = j if after == " " and text[j + 1 : j + 2] not in ("»", "›") else _CLOSERS.match(text, j).end()
     m = k
-    while m < n and m - k < CONTEXT and text[m].isspace():
+    while m < n and text[m].isspace():
         m += 1
     if m >= n or (m > k and _BLANK_LINE.search(text, k, m)):
         return None
-    gap, closed = m > k, k > j
+    closed, gap = "1" if k > j else "0", "1" if m > k else "0"
     ends = run[-1]
-    pk = _class(prev)
     if ends in FULL_STOPS:
         nxt = text[m]
-        if not closed:
-            return None if _class(nxt) == "x" and nxt in ",;:，；：、" else (k, STRONG)
-        if nxt in ",;:，；：、.。":
+        what = "," if nxt in ",;:，；：、" else "." if nxt in ".。" else "letter" if _class(nxt) in "ol" else "other"
+        found = _FULL[_FW["closed"][closed] + _FW["gap"][gap] + _FW["next"][what]]
+        return None if found == NONE else (k, _KIND.get(found, STRONG))
+    begins = _begins(text, m)
+    if begins == "l":
+        if gap == "0" or closed == "1" or len(run) > 1 or not _foreign(text, i, m):
             return None
-        return (k, AFTER_CLOSER if not gap or _class(nxt) in "ol" else STRONG)
-    begins = _begins(text, m, prev)
-    if not begins:
-        if not (closed and gap and not _class(text[m]) == "l"):
-            return _foreign(text, i, j, k, m) if gap and not closed else None
-        return None
-    if closed and begins == "o":
-        return (k, AFTER_CLOSER)
-    if pk == "s" and ends == "." and begins != "U":
+        return (k, STRONG)
+    if begins == "-":
         return None
+    before = _prev_class(prev)
+    thai = "1" if _script(text[m]) == "thai" else "0"
+    word = "1" if gap == "1" or _word_begins(text, m) else "0"
     if ends in "!?":
-        if closed:
-            return (k, STRONG) if gap or begins == "U" else None
-        if begins == "d":
-            return (k, STRONG) if gap and pk in "loU" and len(_token(text, i)) > 1 else None
-        if begins == "o":
-            return (k, STRONG) if pk == "o" or (gap and _script(text[m]) != "thai" and (pk != "d" and not _formula(text, i))) else None
-        if not gap:
-            return (k, STRONG) if pk in "lodx" and _word_begins(text, m) else None
-        return None if _formula(text, i) and text[m] in _OPENERS else (k, STRONG)
-    # a period
-    if len(run) > 1 and not closed and prev.isspace() and begins != "U":
-        return None
-    token = _token(text, i)
-    if "." in token and (lost := _LOST_BLANK.match(token)):
-        token = token[lost.end() :]
+        formula = "1" if _formula(text, i) else "0"
+        w = _SW
+        found = _SHOUT[w["closed"][closed] + w["gap"][gap] + w["begins"][begins] + w["prev"][before] + w["long"]["1" if len(_token(text, i)) > 1 else "0"] + w["formula"][formula] + w["word"][word] + w["opener"]["1" if text[m] in _OPENERS else "0"] + w["thai"][thai]]
+    else:
+        token = _token(text, i)
+        if "." in token and (lost := _LOST_BLANK.match(token)):
+            token = token[lost.end() :]
+        alone = len(run) == 1 and closed == "0"
+        left = _left(text, i, token) if alone else "plain"
+        w = _PW
+        found = _PERIOD[w["run"][("…" if ends == "…" else ".") * min(2, len(run))] + w["closed"][closed] + w["gap"][gap] + w["begins"][begins] + w["left"][left] + w["prev"][before] + w["long"]["1" if len(token) > 1 else "0"] + w["dotted"]["1" if "." in token[-3:] else "0"] + w["word"][word] + w["thai"][thai]]
+    return None if found == NONE else (k, _KIND.get(found, STRONG))
+
+
+def _plain_form(token: str) -> str:
+    """A token in lower case; letters that text recognition took for digits are put right, an elided article is dropped."""
     low = token.lower()
     if low[:1].isalpha() and not low.isalpha() and low.isalnum():
-        low = low.replace("1", "l").replace("0", "o")  # as misread by text recognition
+        low = low.replace("1", "l").replace("0", "o")
     if "'" in low or "’" in low or "‘" in low:
         low = _ELIDED.sub("", low).strip("'‘’")
-    if len(run) == 1 and not closed:
-        if _abbreviated(text, i, token, low, begins, gap):
-            return None
-        if begins == "d":
-            if not gap or not (len(token) > 1 and pk in "lod" or pk in ")]}x"):
-                return None
-            if pk == "d" and not re.search(r"[^\d.,]", token):
-                return (k, STRONG) if _script(text[m]) != "thai" and not _claim_number(text, i, token) else None
-            return (k, STRONG)
-        if pk == "d" and token.isdigit() and _ordinal(text, i, token):
-            return None
-        if begins == "o" and (_class(prev) == "o" and _script(prev) == "thai"):
-            return None
-        if begins == "o" and not gap:
-            return (k, STRONG) if pk == "o" and len(token) > 1 else None
-        if begins == "U" and not gap:
-            return (k, STRONG) if (pk in "ldo" and len(token) > 1 or prev in "%°'’)]}") and _word_begins(text, m) and "." not in token[-3:] else None
-    elif len(run) == 1 and closed:
-        if begins == "d" and not gap:
-            return None
-    if not gap and begins != "U" and not closed:
-        return None
-    return (k, STRONG)
+    return low
 
 
-def _foreign(text: str, i: int, j: int, k: int, m: int) -> tuple[int, int] | None:
-    """A lower-case word of another script may open a sentence where the one before ended in a plain word."""
-    c, prev = text[m], text[i - 1] if i else "\n"
-    if _class(c) != "l" or j - i > 1:
-        return None
+def _left(text: str, i: int, token: str) -> str:
+    """The left class of a single period at i."""
+    bare = _plain_form(token).rstrip(".")
+    if bare in GO_ON_WORDS and bare not in PARTS:
+        return "unit" if _measured(text, i, token, bare) else "abbreviation"
+    if bare == "al" and text[i + 1 : i + 4].strip()[:1] == "(":
+        return "abbreviation"
+    if bare in PARTS or bare in MAY_END_WORDS:
+        following = text[i + 1 : i + 14].strip()
+        if bare in PARTS:
+            return "name_goes_on" if following.startswith(("[?]", *PARTS[bare])) else "name"
+        return "inch" if bare == "in" else "may_latin" if _script(token[0]) == "latin" else "may"
+    if token.isdigit() and _paragraph_begins(text, i - len(token)):
+        return "claim_number"
+    if 0 < len(token) <= 2 and sum(c.isalpha() for c in token) == 1 and _class(token[0]) in "Ul":
+        if _measured(text, i, token, bare):
+            return "unit"
+        before = _before(text, i, token)
+        if not (before and before[-1] in _OPERATORS):
+            return "initial"
+    if "." in token and not token.isascii() and _script(token[0]) == "thai" and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token):
+        return "initial"
+    if token and _class(token[-1]) == "d" and not re.search(r"[^\d.,]", token):
+        return "ordinal" if token.isdigit() and len(token) <= 2 and _before(text, i, token).lower() in ORDINAL_WORDS else "number"
+    return "plain"
+
+
+def _foreign(text: str, i: int, m: int) -> bool:
+    """Whether the lower-case word at m is of another script than the plain word before the mark at i: it may open a sentence."""
     token = _token(text, i)
     if "." in token and (lost := _LOST_BLANK.match(token)):
         token = token[lost.end() :]
-    low = token.lower()
-    if low[:1].isalpha() and not low.isalpha() and low.isalnum():
-        low = low.replace("1", "l").replace("0", "o")  # as misread by text recognition
+    low = _plain_form(token)
     letters = [x for x in token if _class(x) in "Ulo"]
-    if len(letters) < 2 or _class(prev) not in "lo" or low in GO_ON or low in MAY_END or "." in low:
-        return None
-    return (k, STRONG) if _script(letters[-1]) != _script(c) and _script(c) in ("latin", "cyrillic") else None
+    if len(letters) < 2 or _class(text[i - 1]) not in "lo" or low in GO_ON_WORDS or low in MAY_END_WORDS or "." in low:
+        return False
+    return _script(letters[-1]) != _script(text[m]) and _script(text[m]) in ("latin", "cyrillic")
 
 
 def _token_start(text: str, i: int, low: int) -> int:
@@ -254,52 +244,23 @@ def _formula(text: str, i: int) -> bool:
     return len(token) <= 1 or not any(_class(c) in "lo" for c in token) or bool(re.search(r"[\d²³=|)]\Z", token) and not re.search(r"[^\W\d_]{3}", token)) and bool(re.search(r"[|=²³)]", token))
 
 
-def _ordinal(text: str, i: int, token: str) -> bool:
-    return len(token) <= 2 and _before(text, i, token).lower() in BEFORE_ORDINAL
-
-
 def _paragraph_begins(text: str, at: int) -> bool:
     """Whether only blanks stand between ``at`` and the text's begin or an empty line."""
-    head = text[max(0, at - CONTEXT) : at]
-    bare = head.rstrip()
-    return (not bare and len(head) < CONTEXT) or head[len(bare) :].count("\n") > 1
-
-
-def _claim_number(text: str, i: int, token: str) -> bool:
-    """The period at i closes a number that opens a claim."""
-    return token.isdigit() and _paragraph_begins(text, i - len(token))
+    lines = 0
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+        lines += text[at] == "\n"
+    return at == 0 or lines > 1
 
 
-def _measured(text: str, i: int, token: str, bare: str, begins: str) -> bool:
+def _measured(text: str, i: int, token: str, bare: str) -> bool:
     """A short lower-case token behind a number is a unit of measure, which a sentence can end with."""
-    if len(bare) > 4 or begins == "d" or bare != token:
+    if len(bare) > 4 or bare != token:
         return False
     before = _before(text, i, token)
     return bool(before) and before[-1].isdigit()
 
 
-def _abbreviated(text: str, i: int, token: str, low: str, begins: str, gap: bool) -> bool:
-    """Whether the period at i belongs to an abbreviation or initial that the sentence goes on after."""
-    bare = low.rstrip(".")
-    if bare in GO_ON and not _measured(text, i, token, bare, begins):
-        return True
-    if bare == "al" and text[i + 1 : i + 4].strip()[:1] == "(":
-        return True
-    if bare in MAY_END and begins == "o" and _script(token[0]) == "latin" and gap:
-        return True
-    if bare in MAY_END:
-        if bare in ("u.s", "u.s.a", "s.a", "co", "ltd", "inc", "gmbh", "ee", "uu"):
-            following = text[i + 1 : i + 14].strip()
-            return bool(re.match(r"(?:Pat|de C|Ltd|KG|\[\?\]|Patent|u\.|UU)", following)) or not gap
-        return begins == "d" and bare in ("in", "no")
-    if _claim_number(text, i, token):
-        return True
-    if 0 < len(token) <= 2 and sum(c.isalpha() for c in token) == 1 and _class(token[0]) in "Ul" and not _measured(text, i, token, bare, begins):
-        before = _before(text, i, token)
-        return not (before and before[-1] in _OPERATORS)
-    return "." in token and not token.isascii() and _script(token[0]) == "thai" and bool(re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token))
-
-
 def gaps(text: str, start: int, stop: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(first, end) of what isn't blank between one event and the next, before the first and after the last; (-1, -1) if nothing is."""
     out, last = [], start

@@ -171,15 +171,9 @@ def symbols(found: list[tuple[int, int, int]], extents: list[tuple[int, int]], m
 assert AFTER_CLOSER > STRONG  # kinds that symbols() tells apart by exclusion
 
 
-def transition(marks: list[tuple[int, int, int, int]], text_after: bool) -> np.ndarray:
-    """The main machine's state-transition function over a stretch."""
-    f = np.arange(STATES)
-    for a, *_ in marks:
-        f = NEXT[f, a]
-    if text_after:
-        depth, whole = f >> 3, f >> 2 & 1
-        f = (f - (whole << 2) * (depth == 0)) | 2
-    return f
+def after_text(f: np.ndarray) -> np.ndarray:
+    """States after text that no event follows."""
+    return (f - ((f >> 2 & 1) << 2) * (f >> 3 == 0)) | 2
 
 
 def run(marks: list[tuple[int, int, int, int]], rest: tuple[int, int], state: int = INITIAL) -> list[list[tuple[int, int]]]:
@@ -221,6 +215,66 @@ def _entering(functions: np.ndarray, first: int) -> np.ndarray:
     return np.concatenate([np.full_like(prefix[:1], first), prefix[:-1]])
 
 
+def pair_functions(found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """A stretch's effect on the pair machines: [family, closers to come after it] -> before it, and [closers to come after it, family, open
+    before it] -> open after it. Families don't touch each other, so one count stands for all."""
+    ahead = [openers_before(found, mark_openers(found, [c] * (PAIRS + 1))) for c in range(COUNT)]
+    return closers_to_come(found).astype(np.int8), np.stack(ahead).astype(np.int8)
+
+
+def scan_pairs(back: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a document's stretches, in order, the closers to come behind it and the openers open before it, by family."""
+    come = _entering(back[::-1].astype(np.int64), 0)[::-1]
+    at = np.arange(PAIRS + 1)
+    chosen = np.stack([a[c, at] for a, c in zip(ahead, come)]).astype(np.int64)
+    return come, _entering(chosen, 0)
+
+
+def main_function(marks: list[tuple[int, int, int, int]], rest: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A stretch's effect on the main machine, by the state before it: the state after it, whether a unit ends in it, where the text behind
+    its last end begins (-1: none); and where its text ends (-1: it has none)."""
+    f, cut, begin, stop = np.arange(STATES), np.zeros(STATES, bool), np.full(STATES, -1), -1
+    for a, first, end, mark in marks:
+        if first >= 0:
+            begin, stop = np.where(begin < 0, first, begin), end
+        now = CUT[f, a]
+        cut |= now
+        begin = np.where(now, -1, begin)
+        if mark >= 0:
+            begin, stop = np.where(begin < 0, mark, begin), mark + 1
+        f = NEXT[f, a]
+    if rest[0] >= 0:
+        begin, stop = np.where(begin < 0, rest[0], begin), rest[1]
+    return after_text(f) if rest[0] >= 0 else f, cut, begin, stop
+
+
+def scan_main(functions: np.ndarray, cut: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """For each of a document's stretches, in order, the state before it and the begin and end of the unit open there (-1: none)."""
+    states = _entering(functions, INITIAL)
+    open_at, open_to, at, to = [], [], -1, -1
+    for k, s in enumerate(states.tolist()):
+        open_at.append(at)
+        open_to.append(to)
+        if cut[k, s]:
+            at, to = int(begin[k, s]), (int(stop[k]) if begin[k, s] >= 0 else -1)
+        elif stop[k] >= 0:
+            at, to = (int(begin[k, s]) if at < 0 else at), int(stop[k])
+    return states, open_at, open_to
+
+
+def units_of(marks: list[tuple[int, int, int, int]], rest: tuple[int, int], state: int, open_at: int, open_to: int, last: bool) -> list[tuple[int, int]]:
+    """(start, end) of the units that end in a stretch, the first of which may have begun before it; of the last one all."""
+    out: list[tuple[int, int]] = []
+    pieces = run(marks, rest, state)
+    for k, piece in enumerate(pieces):
+        if piece:
+            open_at, open_to = (piece[0][0] if open_at < 0 else open_at), piece[0][1]
+        if (k + 1 < len(pieces) or last) and open_at >= 0:
+            out.append((open_at, open_to))
+            open_at = -1
+    return out
+
+
 Stretch = tuple[list[tuple[int, int, int]], list[tuple[int, int]]]  # events and extents
 
 
@@ -229,27 +283,12 @@ def join_stretches(stretches: list[Stretch]) -> list[tuple[int, int]]:
 
     Each machine's functions of all stretches are composed by a prefix scan (from the end for the backward one); a single stretch needs none.
     """
-    nothing = [0] * (PAIRS + 1)
-    many = len(stretches) > 1
-    if many:
-        back = np.stack([closers_to_come(f) for f, _ in stretches])[::-1]
-        come = _entering(back, 0)[::-1].tolist()
-    else:
-        come = [nothing]
-    matched = [mark_openers(f, c) for (f, _), c in zip(stretches, come)]
-    before = _entering(np.stack([openers_before(f, m) for (f, _), m in zip(stretches, matched)]), 0).tolist() if many else [nothing]
-    found = [symbols(f, e, m, b) for (f, e), m, b in zip(stretches, matched, before)]
-    states = _entering(np.stack([transition(marks, rest[0] >= 0) for marks, rest in found]), INITIAL).tolist() if many else [INITIAL]
-    out: list[tuple[int, int]] = []
-    open_at, open_to = -1, -1
-    for (marks, rest), state in zip(found, states):
-        pieces = run(marks, rest, state)
-        for k, piece in enumerate(pieces):
-            if piece:
-                open_at, open_to = (piece[0][0] if open_at < 0 else open_at), piece[0][1]
-            if k + 1 < len(pieces) and open_at >= 0:
-                out.append((open_at, open_to))
-                open_at = -1
-    if open_at >= 0:
-        out.append((open_at, open_to))
-    return out
+    if len(stretches) == 1:
+        ((found, extents),) = stretches
+        marks, rest = symbols(found, extents, mark_openers(found, [0] * (PAIRS + 1)), [0] * (PAIRS + 1))
+        return units_of(marks, rest, INITIAL, -1, -1, True)
+    come, before = scan_pairs(*map(np.stack, zip(*(pair_functions(f) for f, _ in stretches))))
+    read = [symbols(f, e, mark_openers(f, c), b) for (f, e), c, b in zip(stretches, come.tolist(), before.tolist())]
+    states, open_at, open_to = scan_main(*map(np.array, zip(*(main_function(m, r) for m, r in read))))
+    each = zip(read, states.tolist(), open_at, open_to)
+    return [u for k, ((marks, rest), s, x, y) in enumerate(each) for u in units_of(marks, rest, s, x, y, k + 1 == len(stretches))]

@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from peptrail.llm.boundary_machine import CUT, INITIAL, NEXT, STATES, compose_scan
+from peptrail.llm.boundary_rules import FULL, FULL_RULES, PERIOD, PERIOD_RULES, SHOUT, SHOUT_RULES, compile_rules
 from peptrail.llm.mixing import demand, mixture
 from peptrail.llm.packing import pack, packed, usage
 from peptrail.llm.sentences import sentence_units, text_units
@@ -52,6 +55,40 @@ def test_chunks_and_coverage(seed):
         assert text_units(text, chunk) == whole
 
 
+RUNS = st.sampled_from([" ", "\n", "\n ", ")", "”", ".", "!", "…", "1", "1.", "(", "“", '"', "。", "ไ", " »", "A", "a", "阀", "²"])
+WORDS = st.sampled_from(["Abc", "def", ". ", ".", "! ", "\n\n", "\n", " ", "1. ", "2) ", "(", ")", '"', " “", "” ", "Fig. ", "e.g. ", "停止", "。", "「", "」", "ไทย ", "12.5 ", "U.S. ", "[", "] ", "х. ", "mm. ", "α-", "【請求項1】"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(WORDS, st.tuples(RUNS, st.sampled_from([1, 3, 100, 400, 1000, 5000])).map(lambda r: r[0] * r[1])), max_size=40), st.integers(1, 600))
+def test_units_dont_depend_on_chunks(pieces, chunk):
+    text = "".join(pieces)
+    whole = text_units(text)
+    assert text_units(text, chunk) == whole
+    assert "".join("".join(text[a:b] for a, b in whole).split()) == "".join(text.split())
+
+
+def test_long_runs():
+    far = "Abc def." + " " * 3000 + "Next one."
+    assert [far[a:b] for a, b in text_units(far)] == ["Abc def.", "Next one."]
+    text = "Abc (def." + ")" * 2000 + " Next. B"
+    assert text_units(text, 500) == text_units(text)
+    thai = "ไทย" + " " * 3000 + "ไทย"
+    assert len(text_units(thai, 500)) == 2
+
+
+def test_rules_cover_all_classes():
+    for features, rules in ((FULL, FULL_RULES), (SHOUT, SHOUT_RULES), (PERIOD, PERIOD_RULES)):
+        table, weights = compile_rules(features, rules)
+        assert len(table) == np.prod([len(v) for v in features.values()])
+        rng = random.Random(5)
+        for _ in range(500):
+            pick = {name: rng.choice(list(values)) for name, values in features.items()}
+            first = next(outcome for conditions, outcome in rules if all(pick[n] in v for n, v in conditions.items()))
+            assert table[sum(weights[n][v] for n, v in pick.items())] == first
+        assert all(set(v) <= set(features[n]) for conditions, _ in rules for n, v in conditions.items())
+
+
 def test_machine_is_total_and_scan_composes():
     assert NEXT.min() >= 0 and NEXT.max() < STATES and CUT[INITIAL].any()
     rng = np.random.default_rng(0)
