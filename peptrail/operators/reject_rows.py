@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peptrail.operators.skew import join_checked
 from peptrail.session import cut_lineage
 from peptrail.sources.pin_lines import data_lines, headers
 
@@ -15,8 +16,6 @@ REASONS = ("broken_quote", "column_count", "invalid_value")
 # Fixed values: (role, check) of the rule table; a cell fails if its check does.
 RULES = (("identifier", "token"), ("proteins", "present"), ("label", "sign"), ("scannr", "unsigned"), ("expmass", "positive"), ("feature", "number"))
 
-#: Shares of a feature's failing cells in the join with the text features, of which there is one row a column of a file.
-SALTS = 16
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 WHOLE = r"^[+-]?[0-9]+$"
 
@@ -82,26 +81,32 @@ def errors(data: DataFrame) -> DataFrame:
     rules = F.broadcast(data.sparkSession.createDataFrame(list(RULES), "role string, check string"))
     cells = _exploded(data)
     wrong = cells.join(rules, "role").where(~holds(F.col("check"), F.col("value"))).select("line_id", "file_id", "no", "role")
-    salted = wrong.withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)))
-    words = text_features(cells).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).withColumn("text", F.lit(True))
-    invalid = salted.join(words, ["file_id", "no", "salt"], "left").where("role <> 'feature' or text is null").select("line_id")
+    words = cut_lineage(text_features(cells)).withColumn("text", F.lit(True))
+    invalid = join_checked(wrong, words, ["file_id", "no"], "line_id").where("role <> 'feature' or text is null").select("line_id")
     structure = data.where(F.col("cells").isNull() | ~_fit(data)).select("line_id", F.when(F.col("cells").isNull(), 0).otherwise(1).alias("rank"))
     reasons = F.array(*map(F.lit, REASONS))
     every = structure.unionByName(invalid.withColumn("rank", F.lit(2)))
     return every.groupBy("line_id").agg(F.element_at(reasons, F.min("rank") + 1).alias("reason"))
 
 
+def load_lines_with_headers(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, rejected, headers): as load_lines, and the headers (see pin_lines), made once."""
+    heads = cut_lineage(headers(lines, files))
+    data = cut_lineage(data_lines(lines, heads))  # lines are parsed once, whatever is asked of them
+    rejected = errors(data)
+    width = F.size("header")
+    rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")
+    clean = data.join(rejected.select("line_id"), "line_id", "left_anti")
+    return clean.select("line_id", "file_id", "header", F.concat(F.slice("cells", 1, width - 1), F.array(rest)).alias("values")), rejected, heads
+
+
 def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean, rejected) of files given line by line.
 
     ``clean`` has line_id, file_id, header and values (one per header column) of each valid data line; ``rejected`` has line_id and the
     first reason of REASONS that holds. lines: line_id (unique), file_id, line_no, line_text; files: file_id, file_name. Null and blank
     lines, comments, DefaultDirection rows and repeats of a header are neither. Empty tables give empty tables; repeated lines count each
-    time; a line of unbounded length is one cell row at a time. Files that hold most lines are salted (see join_skewed).
+    time; a line of unbounded length is one cell row at a time. Files that hold most lines are salted where the headers are too many to be
+    sent to all tasks (see join_checked).
     """
-    data = cut_lineage(data_lines(lines, headers(lines, files)))  # lines are parsed once, whatever is asked of them
-    rejected = errors(data)
-    width = F.size("header")
-    rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")
-    clean = data.join(rejected.select("line_id"), "line_id", "left_anti")
-    return clean.select("line_id", "file_id", "header", F.concat(F.slice("cells", 1, width - 1), F.array(rest)).alias("values")), rejected
+    return load_lines_with_headers(lines, files)[:2]

@@ -78,3 +78,35 @@ def protein_groups(peptides: dict[str, set[str]]) -> dict[str, list[str]]:
         if not above:
             groups[p] = [p]
     return groups
+
+
+PIN_BLANKS = " \t\r\n\f\v\u00a0 \u3000"
+
+
+def split_line(line: str, sep: str) -> list[str] | None:
+    """Character by character: the fields of a line, None if the quoting is broken."""
+    out, i, n = [], 0, len(line)
+    while True:
+        while i < n and line[i] in PIN_BLANKS and line[i] != sep:
+            i += 1
+        got, quoted = "", i < n and line[i] == '"'
+        i += quoted
+        while quoted:
+            if i >= n:
+                return None
+            if line[i : i + 2] == '""':
+                got, i = got + '"', i + 2
+            elif line[i] == '"':
+                i, quoted = i + 1, False
+                while i < n and line[i] in PIN_BLANKS and line[i] != sep:
+                    i += 1
+                if i < n and line[i] != sep:
+                    return None
+            else:
+                got, i = got + line[i], i + 1
+        while i < n and line[i] != sep:
+            got, i = got + line[i], i + 1
+        out.append(got.strip(PIN_BLANKS))
+        if i >= n:
+            return out
+        i += 1
