@@ -20,9 +20,15 @@ NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 WHOLE = r"^[+-]?[0-9]+$"
 
 
-def is_number(v: Column) -> Column:
-    """Plain or exponent notation, and finite."""
-    return v.rlike(NUMBER) & (F.abs(v.try_cast("double")) < F.lit(float("inf")))
+#: How a value is written: empty, whole, decimal, anything else; whole and decimal numbers that are too large for a double.
+EMPTY, WHOLE_KIND, DECIMAL, OTHER, HUGE_WHOLE, HUGE = range(6)
+
+
+def kind_of(v: Column) -> Column:
+    """The kind of a value without blanks around it. Most whole numbers are told without a pattern."""
+    finite, whole = F.abs(v.try_cast("double")) < F.lit(float("inf")), v.rlike(WHOLE)
+    number = F.when(finite, F.when(whole, WHOLE_KIND).otherwise(DECIMAL)).otherwise(F.when(whole, HUGE_WHOLE).otherwise(HUGE))
+    return F.when(v == "", EMPTY).when(v.try_cast("long").cast("string") == v, WHOLE_KIND).when(v.rlike(NUMBER), number).otherwise(OTHER).cast("tinyint")
 
 
 def role_of(no: Column, name: Column, width: Column) -> Column:
@@ -33,33 +39,36 @@ def role_of(no: Column, name: Column, width: Column) -> Column:
     )
 
 
-def holds(check: Column, v: Column) -> Column:
-    """Whether value v (never null, without blanks around it) passes a check."""
+def holds(check: Column, v: Column, kind: Column) -> Column:
+    """Whether value v (never null, without blanks around it) of a kind passes a check."""
     present = ~F.lower(v).isin(*MISSING)
     return (
         F.when(check == "token", present & ~v.rlike(r"(?U)[\s\p{Cc}�]"))
         .when(check == "present", present)
         .when(check == "sign", v.isin("1", "-1"))
-        .when(check == "unsigned", v.rlike("^[0-9]+$"))
-        .when(check == "positive", is_number(v) & (v.try_cast("double") > 0))
-        .when(check == "number", (v == "") | is_number(v))
+        .when(check == "unsigned", kind.isin(WHOLE_KIND, HUGE_WHOLE) & ~v.startswith("-") & ~v.startswith("+"))
+        .when(check == "positive", kind.isin(WHOLE_KIND, DECIMAL) & (v.try_cast("double") > 0))
+        .when(check == "number", kind.isin(EMPTY, WHOLE_KIND, DECIMAL))
         .otherwise(True)
     )
 
 
-def _fit(d: DataFrame) -> Column:
+def parsed_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(line_id, file_id, header, roles, rank, values, kinds): every data line; rank 0 where the quoting is broken, 1 where the number of fields is
+    wrong, else null, and then one value per header column with its kind; surplus fields belong to the last one."""
+    d = data_lines(lines, heads)
     n, width = F.size("cells"), F.size("header")
-    return (n >= width) & ((n == width) | (F.col("suffix") == "pin"))
+    rank = F.when(F.col("cells").isNull(), 0).when((n < width) | ((n > width) & (F.col("suffix") != "pin")), 1)
+    rest = F.array_join(F.filter(F.slice("cells", width, n), lambda c: c != ""), "\t")
+    values = F.when(n == width, F.col("cells")).otherwise(F.concat(F.slice("cells", 1, width - 1), F.array(rest)))
+    fit = d.select("line_id", "file_id", "header", "roles", rank.alias("rank"), F.when(rank.isNull(), values).alias("values"))
+    return fit.withColumn("kinds", F.transform("values", kind_of))
 
 
-def _exploded(d: DataFrame) -> DataFrame:
-    """(line_id, file_id, no, name, value, role): the cells of lines that fit their header; surplus fields belong to the last."""
-    width = F.size("header")
-    rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")
-    values = F.concat(F.slice("cells", 1, width - 1), F.array(rest))
-    cells = d.where(F.col("cells").isNotNull() & _fit(d)).select("line_id", "file_id", width.alias("width"), F.posexplode(F.arrays_zip(F.col("header").alias("name"), values.alias("value"))).alias("no", "c"))
-    cells = cells.select("line_id", "file_id", "no", "width", F.col("c.name").alias("name"), F.col("c.value").alias("value"))
-    return cells.withColumn("role", role_of(F.col("no"), F.col("name"), F.col("width"))).drop("width")
+def _exploded(data: DataFrame) -> DataFrame:
+    """(line_id, file_id, no, role, value, kind): the cells of lines that fit their header."""
+    cells = data.where("rank is null").select("line_id", "file_id", F.posexplode(F.arrays_zip(F.col("roles").alias("role"), F.col("values").alias("value"), F.col("kinds").alias("kind"))).alias("no", "c"))
+    return cells.select("line_id", "file_id", "no", "c.role", "c.value", "c.kind")
 
 
 def text_features(cells: DataFrame) -> DataFrame:
@@ -68,36 +77,34 @@ def text_features(cells: DataFrame) -> DataFrame:
     A feature is text if more than half of its non-empty values, over all lines that fit the header, are no numbers: single bad values
     don't turn a number column into text.
     """
-    values = cells.where((F.col("role") == "feature") & (F.col("value") != ""))
-    bad = F.sum(F.when(is_number(F.col("value")), 0).otherwise(1))
+    values = cells.where((F.col("role") == "feature") & (F.col("kind") != EMPTY))
+    bad = F.count_if(~F.col("kind").isin(WHOLE_KIND, DECIMAL))
     return values.groupBy("file_id", "no").agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).where("2 * bad > n").select("file_id", "no")
 
 
 def errors(data: DataFrame) -> DataFrame:
-    """(line_id, reason): each failing line of ``data`` once, with the first reason that holds.
+    """(line_id, reason): each failing line of parsed lines once, with the first reason that holds.
 
     Only cells that fail their check are joined with the text features, for which a word is no failure.
     """
     rules = F.broadcast(data.sparkSession.createDataFrame(list(RULES), "role string, check string"))
     cells = _exploded(data)
-    wrong = cells.join(rules, "role").where(~holds(F.col("check"), F.col("value"))).select("line_id", "file_id", "no", "role")
+    wrong = cells.join(rules, "role").where(~holds(F.col("check"), F.col("value"), F.col("kind"))).select("line_id", "file_id", "no", "role")
     words = cut_lineage(text_features(cells)).withColumn("text", F.lit(True))
     invalid = join_checked(wrong, words, ["file_id", "no"], "line_id").where("role <> 'feature' or text is null").select("line_id")
-    structure = data.where(F.col("cells").isNull() | ~_fit(data)).select("line_id", F.when(F.col("cells").isNull(), 0).otherwise(1).alias("rank"))
-    reasons = F.array(*map(F.lit, REASONS))
-    every = structure.unionByName(invalid.withColumn("rank", F.lit(2)))
-    return every.groupBy("line_id").agg(F.element_at(reasons, F.min("rank") + 1).alias("reason"))
+    every = data.where("rank is not null").select("line_id", "rank").unionByName(invalid.withColumn("rank", F.lit(2)))
+    return every.groupBy("line_id").agg(F.element_at(F.array(*map(F.lit, REASONS)), F.min("rank") + 1).alias("reason"))
 
 
 def load_lines_with_headers(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clean, rejected, headers): as load_lines, and the headers (see pin_lines), made once."""
-    heads = cut_lineage(headers(lines, files))
-    data = cut_lineage(data_lines(lines, heads))  # lines are parsed once, whatever is asked of them
-    rejected = errors(data)
+    """(clean, rejected, headers): as load_lines, the clean lines with their values' kinds, and the headers (see pin_lines), made once."""
     width = F.size("header")
-    rest = F.array_join(F.filter(F.slice("cells", width, F.size("cells")), lambda c: c != ""), "\t")
-    clean = data.join(rejected.select("line_id"), "line_id", "left_anti")
-    return clean.select("line_id", "file_id", "header", F.concat(F.slice("cells", 1, width - 1), F.array(rest)).alias("values")), rejected, heads
+    roles = F.transform("header", lambda name, no: role_of(no, name, width))
+    heads = cut_lineage(headers(lines, files).withColumn("roles", roles))
+    data = cut_lineage(parsed_lines(lines, heads))  # lines are parsed once, whatever is asked of them
+    rejected = errors(data)
+    clean = data.where("rank is null").join(rejected.select("line_id"), "line_id", "left_anti")
+    return clean.select("line_id", "file_id", "header", "values", "kinds"), rejected, heads
 
 
 def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,4 +116,5 @@ def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
     time; a line of unbounded length is one cell row at a time. Files that hold most lines are salted where the headers are too many to be
     sent to all tasks (see join_checked).
     """
-    return load_lines_with_headers(lines, files)[:2]
+    clean, rejected, _ = load_lines_with_headers(lines, files)
+    return clean.drop("kinds"), rejected

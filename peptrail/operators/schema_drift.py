@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peptrail.operators.reject_rows import NUMBER, WHOLE, load_lines_with_headers
+from peptrail.operators.reject_rows import EMPTY, HUGE_WHOLE, OTHER, WHOLE_KIND, load_lines_with_headers
 from peptrail.operators.skew import join_checked
 from peptrail.session import cut_lineage
 
@@ -183,9 +183,9 @@ def versions(lines: DataFrame, files: DataFrame, clean: DataFrame | None = None,
     """
     if clean is None or heads is None:
         clean, _, heads = load_lines_with_headers(lines, files)
-    cells = clean.select("file_id", F.posexplode("values").alias("no", "v")).where("v <> ''")
-    v = F.col("v")
-    number, whole = v.rlike(NUMBER), v.rlike(WHOLE)
+    cells = clean.select("file_id", F.posexplode(F.arrays_zip(F.col("values").alias("v"), F.col("kinds").alias("k"))).alias("no", "c")).select("file_id", "no", "c.v", "c.k").where(F.col("k") != EMPTY)
+    v, k = F.col("v"), F.col("k")
+    number, whole = k != OTHER, k.isin(WHOLE_KIND, HUGE_WHOLE)
     value = F.when(number, v.try_cast("double"))
     kinds = cells.groupBy("file_id", "no").agg(F.min(number).alias("number"), F.min(whole).alias("whole"), F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.expr("bit_or(shiftleft(1L, pmod(hash(v), 64)))").alias("bits"))
     names = heads.select("file_id", F.posexplode("header").alias("no", "name"))
