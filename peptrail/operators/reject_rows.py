@@ -54,21 +54,20 @@ def holds(check: Column, v: Column, kind: Column) -> Column:
 
 
 def parsed_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """(line_id, file_id, header, roles, rank, values, kinds): every data line; rank 0 where the quoting is broken, 1 where the number of fields is
-    wrong, else null, and then one value per header column with its kind; surplus fields belong to the last one."""
+    """(line_id, file_id, header, roles, rank, values): every data line; rank 0 where the quoting is broken, 1 where the number of fields is
+    wrong, else null, and then one value per header column; surplus fields belong to the last one."""
     d = data_lines(lines, heads)
     n, width = F.size("cells"), F.size("header")
     rank = F.when(F.col("cells").isNull(), 0).when((n < width) | ((n > width) & (F.col("suffix") != "pin")), 1)
     rest = F.array_join(F.filter(F.slice("cells", width, n), lambda c: c != ""), "\t")
     values = F.when(n == width, F.col("cells")).otherwise(F.concat(F.slice("cells", 1, width - 1), F.array(rest)))
-    fit = d.select("line_id", "file_id", "header", "roles", rank.alias("rank"), F.when(rank.isNull(), values).alias("values"))
-    return fit.withColumn("kinds", F.transform("values", kind_of))
+    return d.select("line_id", "file_id", "header", "roles", rank.alias("rank"), F.when(rank.isNull(), values).alias("values"))
 
 
 def _exploded(data: DataFrame) -> DataFrame:
     """(line_id, file_id, no, role, value, kind): the cells of lines that fit their header."""
-    cells = data.where("rank is null").select("line_id", "file_id", F.posexplode(F.arrays_zip(F.col("roles").alias("role"), F.col("values").alias("value"), F.col("kinds").alias("kind"))).alias("no", "c"))
-    return cells.select("line_id", "file_id", "no", "c.role", "c.value", "c.kind")
+    cells = data.where("rank is null").select("line_id", "file_id", F.posexplode(F.arrays_zip(F.col("roles").alias("role"), F.col("values").alias("value"))).alias("no", "c"))
+    return cells.select("line_id", "file_id", "no", "c.role", "c.value").withColumn("kind", kind_of(F.col("value")))
 
 
 def text_features(cells: DataFrame) -> DataFrame:
@@ -97,14 +96,14 @@ def errors(data: DataFrame) -> DataFrame:
 
 
 def load_lines_with_headers(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clean, rejected, headers): as load_lines, the clean lines with their values' kinds, and the headers (see pin_lines), made once."""
+    """(clean, rejected, headers): as load_lines, and the headers (see pin_lines), made once."""
     width = F.size("header")
     roles = F.transform("header", lambda name, no: role_of(no, name, width))
     heads = cut_lineage(headers(lines, files).withColumn("roles", roles))
     data = cut_lineage(parsed_lines(lines, heads))  # lines are parsed once, whatever is asked of them
     rejected = errors(data)
     clean = data.where("rank is null").join(rejected.select("line_id"), "line_id", "left_anti")
-    return clean.select("line_id", "file_id", "header", "values", "kinds"), rejected, heads
+    return clean.select("line_id", "file_id", "header", "values"), rejected, heads
 
 
 def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,5 +115,4 @@ def load_lines(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
     time; a line of unbounded length is one cell row at a time. Files that hold most lines are salted where the headers are too many to be
     sent to all tasks (see join_checked).
     """
-    clean, rejected, _ = load_lines_with_headers(lines, files)
-    return clean.drop("kinds"), rejected
+    return load_lines_with_headers(lines, files)[:2]

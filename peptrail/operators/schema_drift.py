@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peptrail.operators.reject_rows import EMPTY, HUGE_WHOLE, OTHER, WHOLE_KIND, load_lines_with_headers
+from peptrail.operators.reject_rows import HUGE_WHOLE, OTHER, WHOLE_KIND, kind_of, load_lines_with_headers
 from peptrail.operators.skew import join_checked
 from peptrail.session import cut_lineage
 
@@ -183,7 +183,7 @@ def versions(lines: DataFrame, files: DataFrame, clean: DataFrame | None = None,
     """
     if clean is None or heads is None:
         clean, _, heads = load_lines_with_headers(lines, files)
-    cells = clean.select("file_id", F.posexplode(F.arrays_zip(F.col("values").alias("v"), F.col("kinds").alias("k"))).alias("no", "c")).select("file_id", "no", "c.v", "c.k").where(F.col("k") != EMPTY)
+    cells = clean.select("file_id", F.posexplode("values").alias("no", "v")).where("v <> ''").withColumn("k", kind_of(F.col("v")))
     v, k = F.col("v"), F.col("k")
     number, whole = k != OTHER, k.isin(WHOLE_KIND, HUGE_WHOLE)
     value = F.when(number, v.try_cast("double"))
