@@ -54,14 +54,16 @@ def parser() -> argparse.ArgumentParser:
 
 def rollup_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("peptrail rollup", description="Roll results of earlier runs up to coarser levels.")
-    p.add_argument("--level", default="psm", choices=("psm", "precursor", "modified_peptide", "peptide", "peptide_group"))
+    p.add_argument("--level", required=True, choices=("psm", "precursor", "modified_peptide", "peptide", "peptide_group"))
     p.add_argument("--src_dir", default=".")
     p.add_argument("--dest_dir", default=".")
     p.add_argument("--file_root", default="rollup")
     p.add_argument("--peps_algorithm", default="qvality", choices=("qvality", "kde_nnls", "hist_nnls"))
-    p.add_argument("--qvalue_algorithm", default="tdc", choices=("tdc", "from_counts", "from_histogram"))
+    p.add_argument("--qvalue_algorithm", default="tdc", choices=("tdc", "from_counts", "from_peps", "from_histogram"))
     p.add_argument("--stream_confidence", action="store_true")
     p.add_argument("--seed", type=int, default=1)
+    p.add_argument("-v", "--verbosity", type=int, default=2, choices=range(4))
+    p.add_argument("--suppress_warnings", action="store_true")
     p.add_argument("--suffix", default=".parquet", choices=(".parquet", ".tsv"))
     return p
 
@@ -123,46 +125,38 @@ def run_rollup(args: argparse.Namespace) -> dict[str, dict[str, str]]:
     """Runs the rollup command; returns the paths written, by level."""
     from pyspark.sql import functions as F
 
-    from peptrail.operators.competition import best_per_group, reachable_levels
-    from peptrail.operators.peps import peps
-    from peptrail.operators.qvalues import qvalues
+    from peptrail.confidence import rollup_results
     from peptrail.sinks.writers import write_target_decoy
     from peptrail.sources.tables import read_results
-    from peptrail.streaming.histogram_confidence import histogram_confidence
 
     df = read_results(_session(None), args.src_dir, args.level, args.file_root + ".").withColumn("target", ~F.col("is_decoy"))
     df = df.drop("q_value", "pep", "is_decoy")
-    df = df.withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    by_lower = {c.lower().replace("_", ""): c for c in df.columns}
     written = {}
-    for level in reachable_levels(args.level):
-        column = by_lower.get({"psm": "psmid"}.get(level, level.replace("_", "")))
-        if column is None:
-            logging.getLogger(__name__).warning("no column for level %s; it is passed over", level)
-            continue
-        best = best_per_group(df, [column], "score", "target", ["_id"])
-        if args.stream_confidence:
-            rated = histogram_confidence(best, "score", "target")
-        else:
-            rated = peps(qvalues(best, "score", "target", args.qvalue_algorithm), "score", "target", args.peps_algorithm, peps_error=True)
-        columns = [c for c in rated.columns if c not in ("target", "_id")]
+    for level, rated in rollup_results(df, args.level, args.qvalue_algorithm, args.peps_algorithm, args.stream_confidence).items():
+        columns = [c for c in rated.columns if c != "target"]
         written[level] = write_target_decoy(rated, "target", args.dest_dir, f"{level}s", columns, True, file_root=args.file_root, suffix=args.suffix)
     return written
 
 
+def _prepare(args: argparse.Namespace) -> None:
+    logging.basicConfig(level=[logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG][args.verbosity])
+    if args.suppress_warnings:
+        import warnings
+
+        warnings.simplefilter("ignore")
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     """Exit codes: 0; 250 for wrong input or arguments' values; 252 for anything else."""
     argv = list(sys.argv[1:] if argv is None else argv)
     try:
         if argv[:1] == ["rollup"]:
-            run_rollup(rollup_parser().parse_args(argv[1:]))
+            args = rollup_parser().parse_args(argv[1:])
+            _prepare(args)
+            run_rollup(args)
         else:
             args = parser().parse_args(argv)
-            logging.basicConfig(level=[logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG][args.verbosity])
-            if args.suppress_warnings:
-                import warnings
-
-                warnings.simplefilter("ignore")
+            _prepare(args)
             run(args)
     except (RuntimeError, ValueError) as e:
         logging.getLogger(__name__).error("%s", e)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peptrail.dataset import ROW_ID, PsmDataset
 from peptrail.learn.brew import best_features
-from peptrail.operators.competition import psm_competition, rollup
+from peptrail.operators.competition import best_per_group, psm_competition, reachable_levels, rollup
 from peptrail.operators.peps import peps
 from peptrail.operators.proteins import ProteinTables, picked_proteins
 from peptrail.operators.qvalues import qvalues
@@ -17,6 +18,8 @@ from peptrail.session import cut_lineage
 from peptrail.sinks.writers import output_columns, write_sqlite, write_target_decoy
 from peptrail.streaming.histogram_confidence import histogram_confidence
 
+log = logging.getLogger(__name__)
+
 # The names of result levels by the role that is their key.
 LEVEL_NAMES = {"modifiedpeptide": "modifiedpeptides", "precursor": "precursors", "peptidegroup": "peptidegroups"}
 
@@ -87,6 +90,32 @@ def assign_confidence(
     return ConfidenceResult({name: rate(t) for name, t in tables.items()}, dataset)
 
 
+def rollup_results(df: DataFrame, base: str, qvalue_algorithm: str = "tdc", peps_algorithm: str = "qvality", stream_confidence: bool = False, score: str = "score", target: str = "target") -> dict[str, DataFrame]:
+    """Tables of the levels that ``base`` can be rolled up to, itself first, with q_value and pep, from the results of any number of runs.
+
+    A level's key is the column of its name (psm_id or row_id for psm), in any case and with or without underscores; levels without a column
+    are passed over with a warning. Equal rows tie by a hash of the row.
+    """
+    by_lower = {c.lower().replace("_", ""): c for c in df.columns}
+    ident = by_lower.get("rowid")
+    keyed = df.withColumn("_id", F.col(f"`{ident}`") if ident else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    out = {}
+    for level in reachable_levels(base):
+        column = by_lower.get("psmid", ident) if level == "psm" else by_lower.get(level.replace("_", ""))
+        if column is None:
+            log.warning("no column for level %s; it is passed over", level)
+            continue
+        best = best_per_group(keyed, [column], score, target, ["_id"])
+        if stream_confidence:
+            rated = histogram_confidence(best, score, target)
+        elif qvalue_algorithm == "from_peps":
+            rated = qvalues(peps(best, score, target, peps_algorithm, peps_error=True), score, target, "from_peps", pep="pep")
+        else:
+            rated = peps(qvalues(best, score, target, qvalue_algorithm), score, target, peps_algorithm, peps_error=True)
+        out[level] = rated.drop("_id")
+    return out
+
+
 def write_confidence(result: ConfidenceResult, folder: str, write_decoys: bool = False, append: bool = False, sqlite_path: str | None = None, suffix: str = ".parquet", **naming: str) -> dict[str, dict[str, str]]:
     """Targets (and decoys) of each level to ``folder``; into a result database too if one is named (no table exists for proteins)."""
     roles = result.dataset.roles

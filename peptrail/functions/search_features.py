@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,16 @@ def log_candidates(n: Column) -> Column:
     return F.when(n > 0, F.log10(n))
 
 
+#: Values of a column that become columns of their own.
+MOST_VALUES = 1_000
+
+
 def one_hot(df: DataFrame, column: str, prefix: str, values: list | None = None) -> DataFrame:
-    """df with a 0/1 column for each value; the values are found (at most 1,000) unless given."""
+    """df with a 0/1 column for each value; the values are found unless given. ValueError if there are more than MOST_VALUES."""
     if values is None:
-        values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1_000).collect())
+        values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_VALUES + 1).collect())
+        if len(values) > MOST_VALUES:
+            raise ValueError(f"{column} has more than {MOST_VALUES} values; give those that are to be columns")
     return df.select("*", *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{prefix}{v}") for v in values])
 
 
@@ -56,11 +64,26 @@ def any_target(proteins: Column, decoy_prefix: str) -> Column:
     return F.coalesce(F.exists(proteins, lambda p: ~p.startswith(decoy_prefix)), F.lit(False))
 
 
+def log_of_text(v: Column) -> Column:
+    """log10 of a number written in scientific notation, also where it is too small or too large for a double; null if it isn't above zero."""
+    root = F.substring_index(F.lower(v), "e", 1).try_cast("double")
+    power = F.when(F.contains(F.lower(v), F.lit("e")), F.substring_index(F.lower(v), "e", -1).try_cast("double")).otherwise(0.0)
+    return F.when(root > 0, F.log10(root) + power)
+
+
 def auto_log(df: DataFrame, features: list[str], span: float = 1e4) -> DataFrame:
     """df with log10 of each non-negative feature whose greatest value is at least ``span`` times its least positive one.
 
-    Zeros become the least logarithm minus 1. Features with negative values or of only 0 and 1 stay. One pass of statistics.
+    Zeros become the least logarithm minus 1. Features with negative values or of only 0 and 1 stay. Features that are still text are
+    compared by their logarithms, so that values too small for a double count too, and become numbers either way. One pass of statistics.
     """
+    texts = [f for f in features if df.schema[f].dataType.simpleString() == "string"]
+    if texts:
+        logs = {f: log_of_text(F.col(f)) for f in texts}
+        facts = df.agg(*[x for f in texts for x in (F.min(logs[f]).alias(f"lo_{f}"), F.max(logs[f]).alias(f"hi_{f}"), F.coalesce(F.bool_or(F.ltrim(F.col(f)).startswith("-")), F.lit(False)).alias(f"neg_{f}"))]).first()
+        wide = {f: facts[f"lo_{f}"] is not None and not facts[f"neg_{f}"] and facts[f"hi_{f}"] - facts[f"lo_{f}"] >= math.log10(span) for f in texts}
+        value = lambda f: F.when(F.col(f).isNotNull(), F.coalesce(logs[f], F.lit(facts[f"lo_{f}"] - 1))) if wide[f] else F.col(f).try_cast("double")
+        df, features = df.withColumns({f: value(f) for f in texts}), [f for f in features if f not in texts]
     if not features:
         return df
     stats = df.agg(*[x for f in features for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"), F.min(F.when(F.col(f) > 0, F.col(f))).alias(f"pos_{f}"))]).first()

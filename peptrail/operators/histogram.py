@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bins that a histogram may have; the aggregate that comes to the driver is no larger.
-MOST_BINS = 100_000
+MOST_BINS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,9 @@ def bin_count(n: int, lo: float, hi: float, sd: float, rule: str | int = "scott"
         k = math.ceil((hi - lo) / width) if width > 0 else 1
     if clip:
         k = min(max(k, clip[0]), clip[1])
-    return max(1, min(k, MOST_BINS))
+    if k > MOST_BINS:
+        raise ValueError(f"the rule gives {k} bins, more than {MOST_BINS}; clip them, or give their number")
+    return max(1, k)
 
 
 def bin_edges(df: DataFrame, score: str, rule: str | int = "scott", clip: tuple[int, int] | None = None, extend: bool = False) -> np.ndarray:
@@ -73,10 +76,10 @@ def bin_edges(df: DataFrame, score: str, rule: str | int = "scott", clip: tuple[
         return np.zeros(0)
     k = bin_count(r["n"], r["min"], r["max"], r["sd"], rule, clip)
     lo, hi = r["min"], r["max"]
-    if extend:
-        half = (hi - lo) / k / 2
-        k = min(max(k + 1, clip[0]), clip[1]) if clip else k + 1
-        lo, hi = lo - half, hi + half
+    if extend:  # the outermost bins are centred on the least and the greatest value
+        k = bin_count(0, lo, hi, 0.0, k + 1, clip)
+        margin = 0.5 * (hi - lo) / (k - 1) if k > 1 else 0.5
+        lo, hi = lo - margin, hi + margin
     return np.linspace(lo, hi, k + 1)
 
 
@@ -118,4 +121,5 @@ def interpolate(x: Column, x0: float, width: float, values: list[float] | np.nda
 
 def gaussian_iqr(mean: float, sd: float) -> tuple[float, float]:
     """The quartiles of a normal distribution."""
-    return mean - 0.6744897501960817 * sd, mean + 0.6744897501960817 * sd
+    d = NormalDist(mean, sd) if sd > 0 else None
+    return (d.inv_cdf(0.25), d.inv_cdf(0.75)) if d else (mean, mean)

@@ -121,6 +121,8 @@ def peps(df: DataFrame, score: str, target: str, method: str = "qvality", is_tdc
 
     Null scores get null. An empty table stays empty. ``peps_error``: a ValueError if all probabilities are 1.
     """
+    if method == "qvality_bin":
+        raise ValueError("qvality_bin calls a program that isn't part of this package; qvality fits the same kind of curve")
     if method not in CURVES:
         raise ValueError(f"unknown method for error probabilities: {method}")
     h = histogram(df, score, target, "scott" if method == "hist_nnls" else FINE_BINS)

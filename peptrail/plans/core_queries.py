@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptrail.confidence import assign_confidence
+from peptrail.confidence import assign_confidence, rollup_results
 from peptrail.dataset import PsmDataset
 from peptrail.functions import peptides as pep_fn
 from peptrail.functions import search_features as feat
-from peptrail.learn.brew import best_features, brew, calibrate
+from peptrail.learn.brew import LinearModel, best_features, brew, calibrate
 from peptrail.operators import competition as comp
 from peptrail.operators import histogram as hist
 from peptrail.operators import peps as pep_ops
@@ -90,7 +92,7 @@ def qvalues_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 def streaming_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Q-values and error probabilities from a two-pass histogram."""
-    return histogram_confidence(_psm(spark, sf), "score", "target").select("row_id", "q_value", "pep")
+    return _round(histogram_confidence(_psm(spark, sf), "score", "target").select("row_id", "q_value", "pep"), "q_value", "pep")
 
 
 def stream_event_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,8 +161,8 @@ def entity_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_feature(spark: SparkSession, sf: str) -> DataFrame:
-    df = _t(spark, sf, "psms").select((F.col("label") == 1).alias("target"), "refactoredxcorr", "sp", "absdm", "neglog10pvalue").where("target is not null")
-    return best_features(df, ["refactoredxcorr", "sp", "absdm", "neglog10pvalue"], "target", 0.05).select("feature", "descending", "passing")
+    df = _t(spark, sf, "psms").select((F.col("label") == 1).alias("target"), *FEATURES).where("target is not null")
+    return best_features(df, list(FEATURES), "target", 0.05).select("feature", "descending", "passing")
 
 
 def fold_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,8 +176,28 @@ def calibrate_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
-    terms = sum([F.col(c) * w for c, w in WEIGHTS.items()], F.lit(0.5))
-    return _round(_t(spark, sf, "psms").select("row_id", terms.alias("score")), "score")
+    """Scores by a given model; a missing value counts as the mean."""
+    return _round(_t(spark, sf, "psms").select("row_id", _model(0).score().alias("score")), "score")
+
+
+def _model(k: int) -> LinearModel:
+    """A fixed model; those of other k weigh its features in another order."""
+    weights = [*WEIGHTS.values()]
+    return LinearModel(tuple(WEIGHTS), (2.0, 1.0, 0.5), (1.7, 2.3, 1.1), tuple(weights[k:] + weights[:k]), 0.5, k)
+
+
+def ensemble_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record's mean score by all folds' models, which are given."""
+    r = brew(_dataset(spark, sf), 0.05, 0.05, ensemble=True, override=True, models=[_model(k) for k in range(3)])
+    return _round(r.scored.select("row_id", "score"), "score")
+
+
+def rollup_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of several runs, targets and decoys apart as they are written, put together and rolled up to peptides."""
+    w = _winners(spark, sf).select("row_id", "run_id", "peptide", "score", "target")
+    parts = [d.where(F.col("run_id") % 2 == k) for k in (0, 1) for d in comp.target_decoy_split(w, "target")]
+    levels = rollup_results(functools.reduce(DataFrame.unionByName, parts), "psm", peps_algorithm="hist_nnls")
+    return _round(functools.reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("level"), "row_id", "score", "q_value") for name, t in levels.items()]), "q_value")
 
 
 def zscore_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,11 +302,11 @@ def pi0_slope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pep_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return pep_ops.peps(_winners(spark, sf), "score", "target", "hist_nnls").select("row_id", "pep")
+    return _round(pep_ops.peps(_winners(spark, sf), "score", "target", "hist_nnls").select("row_id", "pep"), "pep")
 
 
 def pep_kde(spark: SparkSession, sf: str) -> DataFrame:
-    return pep_ops.peps(_winners(spark, sf), "score", "target", "kde_nnls").select("row_id", "pep")
+    return _round(pep_ops.peps(_winners(spark, sf), "score", "target", "kde_nnls").select("row_id", "pep"), "pep")
 
 
 def pep_qvality(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,7 +336,7 @@ QUERIES = {
     for f in (
         tdc_qvalues, tdc_qvalues_asc, qvalues_from_counts, qvalues_from_peps, qvalues_from_peps_all, qvalues_hist, streaming_confidence, stream_event_histogram, td_histogram, score_statistics, bin_edges,
         update_labels, training_set, psm_competition, no_dedup, rollup_multi_level, peptide_confidence, target_decoy_split, discovery_curve, entity_counts, best_feature, fold_split,
-        calibrate_scores, linear_score, zscore_features, nan_feature_probe, role_inference, label_coercion, composition_key, strip_peptides, base_sequence, digest_kr, digest_trypsin,
+        calibrate_scores, linear_score, ensemble_score, rollup_files, zscore_features, nan_feature_probe, role_inference, label_coercion, composition_key, strip_peptides, base_sequence, digest_kr, digest_trypsin,
         decoy_proteins, fasta_export, decoy_matching, flashlfq_export,
         open_mod_bins, mz_error, one_hot_charge, log_transform, safe_division, file_names, pi0_slope, pep_hist, pep_kde, pep_qvality, brew_scores, end_to_end,
     )
@@ -324,9 +346,34 @@ _BARE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(peptide,
 _LABELS = f"WITH {tdc_sql(PSM_SQL)} SELECT row_id, (CASE WHEN NOT target THEN -1 WHEN q <= 0.05 THEN 1 ELSE 0 END)::INTEGER AS label FROM src JOIN q ON score::FLOAT = s"  # noqa: S608
 _GRID = f"r AS (SELECT min(score) AS lo, max(score) AS hi FROM src), b AS (SELECT least(floor((score - lo) / ((hi - lo) / {BINS})), {BINS - 1})::INTEGER AS bin, count(*) FILTER (target) AS targets, count(*) FILTER (NOT target) AS decoys FROM src, r GROUP BY 1)"  # noqa: S608
 _BEST = " UNION ALL ".join(
-    f"SELECT {i} AS i, {d} AS falling, target, {'' if d else '-'}{f}::DOUBLE AS v FROM rows WHERE {f} IS NOT NULL" for i, f in enumerate(("refactoredxcorr", "sp", "absdm", "neglog10pvalue")) for d in (1, 0)
+    f"SELECT {i} AS i, {d} AS falling, target, {'' if d else '-'}{f}::DOUBLE AS v FROM rows WHERE {f} IS NOT NULL" for i, f in enumerate(FEATURES) for d in (1, 0)
 )  # noqa: S608
 
+def _linear_sql(k: int, filled: bool = False) -> str:
+    """The score of _model(k); a missing value counts as the mean, or as 0 where the data are filled."""
+    m = _model(k)
+    return "0.5::DOUBLE" + "".join(f" + coalesce(({f'coalesce({f}, 0)' if filled else f} - {mean}::DOUBLE) / {sd}::DOUBLE, 0) * {w}::DOUBLE" for f, mean, sd, w in zip(m.features, m.mean, m.sd, m.weights))
+
+
+def _hist_sql(bins: str) -> str:
+    """CTEs r(lo, hi, k, width) and e(i, t, d), a histogram of src with a number of bins that may depend on n, lo, hi and sd."""
+    return f"""r0 AS (SELECT count(*) AS n, min(score) AS lo, max(score) AS hi, stddev_samp(score) AS sd FROM src), r AS (SELECT lo, hi, ({bins})::INTEGER AS k, (hi - lo) / ({bins}) AS width FROM r0),
+    h AS (SELECT least(floor((score - lo) / width), k - 1)::INTEGER AS i, count(*) FILTER (target) AS t, count(*) FILTER (NOT target) AS d FROM src, r GROUP BY 1),
+    e AS (SELECT x.i::INTEGER AS i, coalesce(t, 0) AS t, coalesce(d, 0) AS d FROM (SELECT unnest(range(k)) AS i FROM r) x LEFT JOIN h ON h.i = x.i)"""  # noqa: S608
+
+
+# z(i, w, y) to the falling fit iso(i, y): the least of the greatest means of runs around i. Then p(row_id, pep) by interpolation between bin centres.
+_FALLING = """u AS (SELECT i, sum(w) OVER o AS cw, sum(w * y) OVER o AS cy, w, y FROM z WINDOW o AS (ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    runs AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.w * a.y) / (b.cw - a.cw + a.w) AS mean FROM u a JOIN u b ON b.i >= a.i),
+    top AS (SELECT a, b, max(mean) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS y FROM runs), iso AS (SELECT b AS i, min(y) AS y FROM top GROUP BY 1)"""
+_LOOKUP = """pl AS (SELECT row_id, least(greatest((score - (lo + width / 2)) / width, 0), k - 1) AS x, k FROM src, r), fl AS (SELECT row_id, x, least(floor(x), greatest(k - 2, 0))::INTEGER AS j, k FROM pl),
+    p AS (SELECT row_id, round(a.y + (b.y - a.y) * (x - j), 6) AS pep FROM fl JOIN iso a ON a.i = j JOIN iso b ON b.i = least(j + 1, k - 1))"""
+# Bins without targets lie on the line between their neighbours, and on the one to 0 behind the last.
+_HIST_PEP = f"""z AS (SELECT i, t AS w, d / t::DOUBLE AS y FROM e WHERE t > 0), {_FALLING.replace('iso AS', 'full_bins AS')}, known AS (SELECT i, y FROM full_bins UNION ALL SELECT k, 0 FROM r),
+    near AS (SELECT e.i, (SELECT max(i) FROM known q WHERE q.i <= e.i) AS l, (SELECT min(i) FROM known q WHERE q.i >= e.i) AS h FROM e),
+    iso AS (SELECT near.i, greatest(0, least(1, CASE WHEN l IS NULL OR l = h THEN b.y ELSE a.y + (b.y - a.y) * (near.i - l) / (h - l)::DOUBLE END)) AS y FROM near JOIN known b ON b.i = h LEFT JOIN known a ON a.i = l), {_LOOKUP}"""
+_TRYPTIC = f"string_split(regexp_replace(regexp_replace(trim({_BARE}, '-'), '([KR])([^P])', '\\1|\\2', 'g'), '([KR])([^P|])', '\\1|\\2', 'g'), '|')"
+
 ORACLES = {
     "tdc_qvalues": f"WITH {tdc_sql(PSM_SQL)} SELECT row_id, round(q, 6) AS q_value FROM src JOIN q ON score::FLOAT = s",
     "tdc_qvalues_asc": f"WITH {tdc_sql(PSM_SQL + ' AND absdm IS NOT NULL', 'absdm', False)} SELECT row_id, round(q, 6) AS q_value FROM src JOIN q ON absdm::FLOAT = s",
@@ -370,13 +417,33 @@ ORACLES = {
     "entity_counts": f"SELECT count(*) FILTER (target)::BIGINT AS targets, count(*) FILTER (NOT target)::BIGINT AS decoys, count(*)::BIGINT AS rows, count(DISTINCT peptide)::BIGINT AS entities FROM ({PSM_SQL})",
     "best_feature": f"""WITH rows AS (SELECT label = 1 AS target, * FROM psms WHERE label IS NOT NULL), {tdc_sql(_BEST, 'v', True, 'i, falling')},
         n AS (SELECT i, falling, coalesce(sum(t) FILTER (q <= 0.05), 0) AS passing FROM q GROUP BY i, falling)
-        SELECT (['refactoredxcorr', 'sp', 'absdm', 'neglog10pvalue'])[i + 1] AS feature, falling = 1 AS descending, passing::BIGINT AS passing FROM n ORDER BY passing DESC, i, falling DESC LIMIT 1""",
+        SELECT ({list(FEATURES)})[i + 1] AS feature, falling = 1 AS descending, passing::BIGINT AS passing FROM n ORDER BY passing DESC, i, falling DESC LIMIT 1""",
     "fold_split": f"""WITH src AS (SELECT row_id, (run_id * 1000003 + scannr)::HUGEINT * 2654435761 % 4294967296 AS h FROM ({PSM_SQL})), g AS (SELECT h, count(*) AS n FROM src GROUP BY 1),
         c AS (SELECT h, sum(n) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - n AS st, sum(n) OVER () AS total FROM g)
         SELECT row_id, ((st >= total // 3 + least(total % 3, 1))::INTEGER + (st >= 2 * (total // 3) + least(total % 3, 2))::INTEGER) AS fold FROM src JOIN c USING (h)""",
     "calibrate_scores": f"""WITH {tdc_sql(f'SELECT *, run_id % 2 AS fold FROM ({PSM_SQL})', parts='fold')}, j AS (SELECT src.*, q FROM src JOIN q ON src.fold = q.fold AND score::FLOAT = s),
         k AS (SELECT fold, min(score) FILTER (target AND q <= 0.2) AS t, median(score) FILTER (NOT target) AS m FROM j GROUP BY 1) SELECT row_id, round((score - t) / (t - m), 6) AS score FROM j JOIN k USING (fold)""",
-    "linear_score": "SELECT row_id, round(0.5 + refactoredxcorr * 1.5::DOUBLE + neglog10combinepvalue * 0.25::DOUBLE + absdm * -2.0::DOUBLE, 6) AS score FROM psms",
+    "linear_score": f"SELECT row_id, round({_linear_sql(0)}, 6) AS score FROM psms",
+    "ensemble_score": f"SELECT row_id, round(({_linear_sql(0, True)} + {_linear_sql(1, True)} + {_linear_sql(2, True)}) / 3, 6) AS score FROM psms WHERE peptide IS NOT NULL",
+    "rollup_files": f"""WITH w AS ({WINNERS_SQL}), e AS (SELECT 'psm' AS level, row_id::VARCHAR AS k, * FROM w UNION ALL SELECT 'peptide', peptide, * FROM w), {tdc_sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level, k ORDER BY score DESC, target ASC, row_id) AS rk FROM e) WHERE rk = 1", parts="level")}
+        SELECT src.level, row_id, score, round(q, 6) AS q_value FROM src JOIN q ON src.level = q.level AND score::FLOAT = s""",
+    "streaming_confidence": f"""WITH src AS ({PSM_SQL}), {_hist_sql("least(greatest(ceil((hi - lo) / ((24 * sqrt(pi())) ** (1.0 / 3) * sd * n::DOUBLE ** (-1.0 / 3))), 50), 500)")}, {_HIST_PEP},
+        c AS (SELECT i, sum(t) OVER w AS ct, sum(d) OVER w AS cd FROM e WINDOW w AS (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)),
+        m AS (SELECT i, min(least(1.0::DOUBLE, (cd + 1) / greatest(ct, 1)::DOUBLE)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS q FROM c),
+        v AS (SELECT i, q FROM m UNION ALL SELECT k, 0.0 FROM r), x AS (SELECT row_id, (score - lo) / width AS x, k FROM src, r), y AS (SELECT row_id, x, least(floor(x), k - 1)::INTEGER AS i FROM x)
+        SELECT row_id, round(a.q + (z.q - a.q) * (x - y.i), 6) AS q_value, pep FROM y JOIN v a ON a.i = y.i JOIN v z ON z.i = y.i + 1 JOIN p USING (row_id)""",
+    "pep_hist": f"""WITH src AS ({WINNERS_SQL}), {_hist_sql("ceil((hi - lo) / ((24 * sqrt(pi())) ** (1.0 / 3) * sd * n::DOUBLE ** (-1.0 / 3)))")}, {_HIST_PEP} SELECT row_id, pep FROM p""",
+    "pep_kde": f"""WITH src AS ({WINNERS_SQL}), {_hist_sql("500")}, g AS (SELECT i, lo + (i + 0.5) * width AS c, t, d, width FROM e, r),
+        o AS (SELECT sum(t) AS tn, sum(d) AS dn, sum(t * c) / sum(t) AS tm, sum(d * c) / sum(d) AS dm FROM g),
+        b AS (SELECT greatest(sqrt(sum(t * (c - tm) ** 2) / (any_value(tn) - 1)) * any_value(tn) ** (-0.2), any_value(width) / 2) AS tb, greatest(sqrt(sum(d * (c - dm) ** 2) / (any_value(dn) - 1)) * any_value(dn) ** (-0.2), any_value(width) / 2) AS db FROM g, o),
+        f AS (SELECT x.i, sum(exp(-0.5 * ((x.c - y.c) / tb) ** 2) * y.t) / any_value(tn * tb * sqrt(2 * pi())) AS pt, sum(exp(-0.5 * ((x.c - y.c) / db) ** 2) * y.d) / any_value(dn * db * sqrt(2 * pi())) AS pd FROM g x, g y, o, b GROUP BY 1),
+        z AS (SELECT i, greatest(pt, 1e-300) AS w, CASE WHEN pt > 0 THEN greatest(0, least(1, 1 - greatest(0, pt - dn / tn * pd) / pt)) ELSE 1 END AS y FROM f, o), {_FALLING}, {_LOOKUP} SELECT row_id, pep FROM p""",
+    "role_inference": """WITH c AS (SELECT column_name AS n, column_type AS t FROM (DESCRIBE SELECT * EXCLUDE (row_id, run_id) FROM psms)), r AS (SELECT n, CASE WHEN n IN ('scannr', 'expmass') THEN 'spectrum' WHEN n IN ('specid', 'label', 'peptide', 'proteins', 'calcmass') THEN NULL
+        WHEN t IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'feature' END AS role FROM c) SELECT role, n AS column_name FROM r WHERE role IS NOT NULL UNION ALL SELECT * FROM (VALUES ('id', 'specid'), ('target', 'label'), ('peptide', 'peptide'), ('protein', 'proteins'))""",
+    "decoy_proteins": f"""WITH s AS (SELECT row_id, {_TRYPTIC} AS p FROM psms WHERE peptide IS NOT NULL)
+        SELECT 'decoy_' || row_id AS row_id, array_to_string(list_transform(p, lambda x: CASE WHEN length(x) > 2 THEN x[1] || reverse(x[2:-2]) || x[-1] ELSE x END), '') AS sequence FROM s""",
+    "digest_trypsin": f"""WITH s AS (SELECT row_id, {_TRYPTIC} AS p FROM psms WHERE peptide IS NOT NULL), i AS (SELECT row_id, p, unnest(range(1, len(p) + 1)) AS i FROM s),
+        w AS (SELECT row_id, unnest([p[i], CASE WHEN i < len(p) THEN p[i] || p[i + 1] END]) AS peptide FROM i) SELECT DISTINCT row_id, peptide FROM w WHERE length(peptide) BETWEEN 4 AND 50""",
     "zscore_features": """WITH p AS (SELECT row_id, refactoredxcorr AS a, absdm AS b FROM psms WHERE refactoredxcorr IS NOT NULL AND absdm IS NOT NULL), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM p)
         SELECT row_id, round((a - ma) / sa, 6) AS refactoredxcorr, round((b - mb) / sb, 6) AS absdm FROM p, s""",
     "nan_feature_probe": " UNION ALL ".join(f"SELECT '{f}' AS feature, coalesce(bool_or({f} IS NULL OR isnan({f}::DOUBLE)), false) AS has_missing FROM psms" for f in FEATURES),

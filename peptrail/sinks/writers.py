@@ -26,8 +26,11 @@ SQLITE_TABLES = {
 def write_table(df: DataFrame, path: str, mode: str = "error", single_file: bool = False) -> None:
     """df as a folder of files by the path's suffix (.parquet, else tab-separated with a header); mode as Spark's.
 
-    ``single_file``: one file at exactly that path, for results that are small by nature (it passes through one task).
+    ``single_file``: one file at exactly that path, for results that are small by nature (it passes through one task). A database needs
+    ``write_sqlite``, which knows its tables.
     """
+    if path.endswith((".db", ".sqlite")):
+        raise ValueError(f"{path} is a database; use write_sqlite")
     parquet = path.endswith(".parquet")
 
     def write(d: DataFrame, p: str, m: str) -> None:

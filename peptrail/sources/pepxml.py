@@ -37,7 +37,7 @@ def hits(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     mods = F.transform(F.coalesce("h.modification_info.mod_aminoacid_mass", F.expr("array()").cast("array<struct<_position:int,_mass:string>>")), lambda m: F.struct(m["_position"].alias("position"), m["_mass"].alias("mass")))
     first_word = lambda p: F.substring_index(p, " ", 1)
     others = F.transform(F.coalesce("h.alternative_protein", F.expr("array()").cast("array<struct<_protein:string>>")), lambda a: first_word(a["_protein"]))
-    scores = F.map_from_entries(F.transform(F.coalesce("h.search_score", F.expr("array()").cast("array<struct<_name:string,_value:string>>")), lambda s: F.struct(s["_name"], s["_value"].try_cast("double"))))
+    scores = F.map_from_entries(F.transform(F.coalesce("h.search_score", F.expr("array()").cast("array<struct<_name:string,_value:string>>")), lambda s: F.struct(s["_name"], s["_value"])))
     return h.select(
         "ms_data_file", F.col("q._end_scan").alias("scan"), F.col("q._assumed_charge").alias("charge"), F.col("q._retention_time_sec").alias("ret_time"),
         F.col("q._precursor_neutral_mass").alias("expmass"), F.col("h._calc_neutral_pep_mass").alias("calcmass"),
@@ -54,7 +54,9 @@ def read_pepxml(spark: SparkSession, paths: str | Sequence[str], decoy_prefix: s
     ones as logarithms. A hit is a target if any of its proteins lacks the prefix. Hits that were re-scored already are an error.
     """
     found = hits(spark, paths)
-    names = sorted(r[0] for r in found.select(F.explode(F.map_keys("scores"))).distinct().limit(most_scores).collect())
+    names = sorted(r[0] for r in found.select(F.explode(F.map_keys("scores"))).distinct().limit(most_scores + 1).collect())
+    if len(names) > most_scores:
+        raise ValueError(f"the hits have more than {most_scores} kinds of scores")
     if any(n in RESCORED for n in names):
         raise ValueError("these hits have been re-scored already")
     df = found.select(

@@ -127,6 +127,14 @@ def in_memory(spark: SparkSession, rows: object, columns: Sequence[str] | None =
     return spark.createDataFrame(rows, list(columns) if columns and not hasattr(rows, "columns") else None)
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders that match a pattern in any file system that Spark reads, sorted."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 # Names that earlier runs' columns get.
 RESULT_NAMES = {"PSMId": "psm_id", "SpecId": "psm_id", "q-value": "q_value", "q_value": "q_value", "posterior_error_prob": "pep", "proteinIds": "proteins", "Proteins": "proteins", "Peptide": "peptide", "score": "score"}
 
@@ -137,13 +145,10 @@ def read_results(spark: SparkSession, folder: str, level: str = "psm", exclude:
     Files are named ``*.targets.<level>s.<suffix>`` and ``*.decoys...``; those of a file root ``exclude`` are passed over. Parquet beside
     text is an error, as is a folder without such files.
     """
-    import glob
-    import os
-
     found = {}
     for kind, decoy in (("targets", False), ("decoys", True)):
-        for p in sorted(glob.glob(os.path.join(folder, f"*{kind}.{level}s*"))):
-            if not (exclude and os.path.basename(p).startswith(exclude)):
+        for p in list_paths(spark, f"{folder}/*{kind}.{level}s*"):
+            if not (exclude and p.rsplit("/", 1)[-1].startswith(exclude)):
                 found[p] = decoy
     suffixes = {suffix_of(p) == "parquet" for p in found}
     if len(suffixes) != 1:

@@ -327,7 +327,7 @@ def test_command_line(spark, tmp_path, pin):
     t, d = spark.read.parquet(f"{out}/targets.psms.parquet"), spark.read.parquet(f"{out}/decoys.psms.parquet")
     assert t.columns == ["SpecId", "ScanNr", "ExpMass", "Peptide", "ModifiedPeptide", "score", "q_value", "pep", "Proteins"] and t.count() + d.count() == 750
     assert read_results(spark, out, "psm").count() == 750
-    assert cli.main(["rollup", "--src_dir", out, "--dest_dir", out, "--peps_algorithm", "hist_nnls"]) == 0
+    assert cli.main(["rollup", "--level", "psm", "--src_dir", out, "--dest_dir", out, "--peps_algorithm", "hist_nnls"]) == 0
     assert spark.read.parquet(f"{out}/rollup.targets.modified_peptides.parquet").count() > 100
     assert cli.main([pin, "--stream_confidence"]) == 250
     assert cli.main([str(tmp_path / "none.pin"), "-d", out]) == 252
