@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peptrail.session import cut_lineage
+
 # Element, attribute and kind of a hit's children; parameters count at any depth.
 CHILDREN = {
     "modification": ("mod_aminoacid_mass", "mass"),
@@ -23,9 +25,10 @@ CHILDREN = {
 KINDS = ("hit", *CHILDREN)
 _HIT = "struct<peptide:string,attributes:map<string,string>," + ",".join(f"{k}:array<string>" for k in CHILDREN) + ">"
 _RECORD = f"struct<attributes:map<string,string>,results:array<array<{_HIT}>>>"
+_SLIM = _RECORD.replace("attributes:map<string,string>,", "")
 
 
-def parse_record(text: str | None) -> dict | None:
+def parse_record(text: str | None, keep_attributes: bool = True) -> dict | None:
     """Results and hits of one spectrum_query; None for null or ill-formed text. Prefixes of element names don't matter."""
     if not text or not text.strip():
         return None
@@ -38,7 +41,7 @@ def parse_record(text: str | None) -> dict | None:
         if name == "search_hit":
             if not record["results"]:
                 record["results"].append([])
-            hits.append({"peptide": attributes.get("peptide", ""), "attributes": attributes} | {k: [] for k in CHILDREN})
+            hits.append({"peptide": attributes.get("peptide", "")} | ({"attributes": attributes} if keep_attributes else {}) | {k: [] for k in CHILDREN})
             record["results"][-1].append(hits[-1])
         elif hits:
             if name in kind_of:
@@ -68,13 +71,14 @@ def _declared(text: str) -> bytes:
     return text[text.index("?>") + 2 :].encode("utf-8", "replace") if text.startswith("<?xml") and "?>" in text else text.encode("utf-8", "replace")
 
 
-def parsed(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
-    """``keep`` and the parsed record; null and ill-formed records have a null record."""
+def parsed(df: DataFrame, xml: str, keep: list[str], attributes: bool = True) -> DataFrame:
+    """``keep`` and the parsed record, with the attributes of queries and hits if wanted; null and ill-formed records have a null record."""
 
-    @F.pandas_udf(_RECORD)
+    @F.pandas_udf(_RECORD if attributes else _SLIM)
     def parse(texts: pd.Series) -> pd.DataFrame:
-        out = [parse_record(t) for t in texts]
-        return pd.DataFrame({"attributes": [o and o["attributes"] for o in out], "results": [o and o["results"] for o in out]})
+        out = [parse_record(t, attributes) for t in texts]
+        results = {"results": [o and o["results"] for o in out]}
+        return pd.DataFrame({"attributes": [o and o["attributes"] for o in out]} | results if attributes else results)
 
     return df.select(*[F.col(f"`{k}`") for k in keep], parse(F.col(f"`{xml}`")).alias("record"))
 
@@ -99,16 +103,15 @@ def flatten_children(df: DataFrame, key: str, xml: str, kinds: tuple[str, ...] =
     Ordinals count from 1 in document order within their parent; empty results and hits count. An absent attribute is ''. Null, blank
     and ill-formed records give no row; repeated records give their rows each time. Extra columns don't take part.
     """
-    return parsed(df, xml, [key]).select(F.col(f"`{key}`"), F.inline(_table(F.col("record"), kinds)))
+    return parsed(df, xml, [key], False).select(F.col(f"`{key}`"), F.inline(_table(F.col("record"), kinds)))
 
 
 def linked_tables(df: DataFrame, key: str, xml: str) -> dict[str, DataFrame]:
     """Related tables with parent keys: queries, hits (with all attributes) and one for each kind of child.
 
-    Every child row has (key, result_no, hit_no) of its parent hit and its own ordinal. The parse is shared by checkpointing nothing:
-    each table is its own projection, and a caller that needs several should write ``parsed`` once and project from that.
+    Every child row has (key, result_no, hit_no) of its parent hit and its own ordinal. Records are parsed once, for all tables.
     """
-    base = parsed(df, xml, [key])
+    base = cut_lineage(parsed(df, xml, [key]))
     k, r = F.col(f"`{key}`"), F.col("record")
     hit_rows = F.flatten(
         F.transform(r["results"], lambda hits, i: F.transform(hits, lambda h, j: F.struct((i + 1).alias("result_no"), (j + 1).alias("hit_no"), h["attributes"].alias("attributes"))))

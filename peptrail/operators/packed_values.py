@@ -1,7 +1,8 @@
 """Several values packed in one field: delimiter skeletons, one splitting rule a skeleton, positional extraction.
 
 A field's skeleton is what is left of it when ordinary characters are masked: which delimiters stand outside protected stretches,
-whether values are quoted, whether escapes occur and whether the whole field is enclosed in brackets. The alphabet is closed (see
+whether values are quoted, whether escapes occur and whether the whole field is enclosed in brackets (a bracket that is closed before the
+end encloses a value, not the field). The alphabet is closed (see
 SYMBOLS), so there are at most ``len(WRAPS) * 2 ** len(SYMBOLS)`` skeletons whatever the data are: the table of rules is resolved for
 all of them in advance, and its broadcast has a proven bound. Extraction then picks the cheapest exact way that the rule allows.
 Everything stays in the JVM; the only data that move are the output rows.
@@ -9,6 +10,7 @@ Everything stays in the JVM; the only data that move are the output rows.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,21 +37,37 @@ def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def _closes_early(a: str, b: str) -> str:
+    """What an enclosed text begins with if its first bracket is closed before its end, brackets in quotes, escaped or in pairs aside."""
+    a, b = re.escape(a), re.escape(b)
+    plain = rf"{_QUOTED}|\\.|[^{a}{b}]"
+    return rf"(?s)^(?:{plain}|{a}(?:{plain}|{a}[^{a}{b}]*+{b})*+{b})*+{b}"
+
+
 def _wrap(body: Column) -> Column:
     """The bracket that encloses the whole field, or '-'."""
-    kind = F.lit("-")
+    kind, inner = F.lit("-"), F.substring(body, F.lit(2), F.length(body) - 2)
     for k, (a, b) in WRAPS.items():
         if a:
-            kind = F.when(body.startswith(a) & body.endswith(b) & (F.length(body) > 1), F.lit(k)).otherwise(kind)
+            kind = F.when(body.startswith(a) & body.endswith(b) & (F.length(body) > 1) & ~inner.rlike(_closes_early(a, b)), F.lit(k)).otherwise(kind)
     return kind
 
 
+def _unwrap(value: Column) -> Column:
+    """A value without the brackets around it, if it has any."""
+    out = value
+    for a, b in list(WRAPS.values())[1:]:
+        inner = F.substring(value, F.lit(2), F.length(value) - 2)
+        out = F.when(value.startswith(a) & value.endswith(b) & (F.length(value) > 1) & ~F.contains(inner, F.lit(a)) & ~F.contains(inner, F.lit(b)), _trim(inner)).otherwise(out)
+    return out
+
+
 def skeleton(body: Column) -> Column:
     """The symbols that occur in a field without its brackets, in the order of SYMBOLS."""
     plain = ~body.rlike(r"""["'\\]""")
     bare = F.when(plain, body).otherwise(
         F.regexp_replace(
-            F.regexp_replace(body, rf"(?s)(^|[\t:;,]|(?<=\s)\|(?=\s))\s*(?:{_QUOTED}){_ENDS}", "$1\u0001"), r"(?s)\\.", "\u0002"
+            F.regexp_replace(body, rf"(?s)((?:^|[\t:;,]|(?<=\s)\|(?=\s))\s*)(?:{_QUOTED}){_ENDS}", "$1\u0001"), r"(?s)\\.", "\u0002"
         )
     )
     parts = [F.when(bare.rlike(DELIMITERS[s]), F.lit(s)).otherwise("") for s in DELIMITERS]
@@ -58,10 +76,13 @@ def skeleton(body: Column) -> Column:
 
 
 def resolve(symbols: str) -> str:
-    """The way of splitting for one skeleton: 'single', the one delimiter that occurs, or 'scan' for anything protected or mixed."""
+    """The way of splitting for one skeleton: 'single' value, the one delimiter that occurs, 'mixed' delimiters without protection, one 'quoted'
+    value, or 'scan' where delimiters and protection meet."""
     if not symbols:
         return "single"
-    return symbols if len(symbols) == 1 and symbols in DELIMITERS else "scan"
+    if set(symbols) <= set(DELIMITERS):
+        return symbols if len(symbols) == 1 else "mixed"
+    return "quoted" if symbols == "Q" else "scan"
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -77,6 +98,7 @@ def _unprotect(token: Column) -> Column:
     long = F.length(token) > 1
     double = long & token.rlike(f"(?s)^{_DOUBLE}$")
     single = long & token.rlike(f"(?s)^{_SINGLE}$")
+    token = F.when(double | single, token).otherwise(_unwrap(token))
     text = F.when(double, F.replace(body, F.lit('""'), F.lit('"'))).when(single, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(token)
     return _trim(F.when(text.contains("\\"), F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(text))
 
@@ -99,8 +121,13 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
     values = F.array(b)
     for s, pattern in DELIMITERS.items():
         values = F.when(F.col("way") == s, F.split(b, pattern)).otherwise(values)
+    values = F.when(F.col("way") == "mixed", F.split(b, _DELIMITER)).otherwise(values)
     scanned = F.transform(F.regexp_extract_all(b, F.lit(_VALUE), F.lit(1)), _unprotect)
-    values = F.when(F.col("way") == "scan", scanned).otherwise(F.transform(values, _trim))
+    plain = F.transform(values, _trim)
+    # brackets around single values, where there are any
+    bracketed = b.rlike(r"[\[{(<]") & b.rlike(r"[\]})>]")
+    plain = F.when(bracketed, F.transform(plain, _unwrap)).otherwise(plain)
+    values = F.when(F.col("way") == "scan", scanned).when(F.col("way") == "quoted", F.array(_unprotect(b))).otherwise(plain)
     keys = [F.col(f"k{i}").alias(k) for i, k in enumerate(keep)]
     return ruled.select(*keys, F.posexplode(F.filter(values, lambda v: v != "")).alias("at", value)).select(
         *[F.col(f"`{k}`") for k in keep], (F.col("at") + 1).cast("int").alias(pos), F.col(value)

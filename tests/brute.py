@@ -15,11 +15,34 @@ def unescape(s: str) -> str:
     return "".join(out)
 
 
+def closes_early(inner: str, a: str, b: str) -> bool:
+    """Whether the bracket before ``inner`` is closed within it; brackets in quotes and escaped ones aside."""
+    depth, i = 0, 0
+    while i < len(inner):
+        c = inner[i]
+        if c in "\"'":
+            j = i + 1
+            while j < len(inner) and (inner[j] != c or inner[j + 1 : j + 2] == c):
+                j += 2 if inner[j] == "\\" or inner[j] == c else 1
+            i = j if j < len(inner) else i
+        elif c == "\\":
+            i += 1
+        elif c == a:
+            depth += 1
+        elif c == b:
+            depth -= 1
+            if depth < 0:
+                return True
+        i += 1
+    return False
+
+
 def split_packed(field: str | None) -> list[str]:
     """Character by character: values of a packed field."""
     if field is None or not (t := field.strip(BLANK)):
         return []
-    if len(t) > 1 and (t[0], t[-1]) in {("[", "]"), ("{", "}"), ("(", ")"), ("<", ">")}:
+    pairs = {("[", "]"), ("{", "}"), ("(", ")"), ("<", ">")}
+    if len(t) > 1 and (t[0], t[-1]) in pairs and not closes_early(t[1:-1], t[0], t[-1]):
         t = t[1:-1]
     n = len(t)
 
@@ -60,7 +83,10 @@ def split_packed(field: str | None) -> list[str]:
                     j += 1
                 got.append(t[j])
                 j += 1
-            value = unescape("".join(got).strip(BLANK))
+            raw = "".join(got).strip(BLANK)
+            if len(raw) > 1 and (raw[0], raw[-1]) in pairs and raw[0] not in raw[1:-1] and raw[-1] not in raw[1:-1]:
+                raw = raw[1:-1].strip(BLANK)
+            value = unescape(raw)
         if value := value.strip(BLANK):
             out.append(value)
         i = j + 1

@@ -28,6 +28,7 @@ def values(spark, fields):
 
 
 CASES = {
+    '"a" | "b, c"': ["a", "b, c"], 'a | "b"': ["a", "b"], ' "a;b" ': ["a;b"], "[A];[B]": ["A", "B"], "(A),(B)": ["A", "B"], "[A;B]": ["A", "B"], "[[A];[B]]": ["A", "B"], '["a]b","c"]': ["a]b", "c"], "A;[B]": ["A", "B"], "[A](x)": ["[A](x)"], "{A; B}": ["A", "B"], "sp|A|B(x);C": ["sp|A|B(x)", "C"], '"[A]";B': ["[A]", "B"],
     "a;b": ["a", "b"], "a": ["a"], " a ; b ;": ["a", "b"], ";;a": ["a"], 'a, "b, c"': ["a", "b, c"], "sp|A|B | sp|C|D": ["sp|A|B", "sp|C|D"], "x\\;y;z": ["x;y", "z"],
     '["a","b"]': ["a", "b"], "{a, b}": ["a", "b"], "5'-x;'y;z'": ["5'-x", "y;z"], '"a ""k"" 3"\tb': ['a "k" 3', "b"], '"a \\"k\\" 3"': ['a "k" 3'], "": [], "  ": [], "a;a": ["a", "a"],
     'a"b;c': ['a"b', "c"], "a:b\tc": ["a", "b", "c"],
