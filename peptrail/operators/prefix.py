@@ -31,7 +31,7 @@ def bucketed(df: DataFrame, parts: list[str], value: str, buckets: int | None =
         return df
     known = size if size < UNKNOWN_BYTES else 0
     n = buckets or min(MOST_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // BUCKET_BYTES))
-    probes = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: k / F.lit(float(n)))
+    probes = F.split(F.lit(",".join(str(k / n) for k in range(1, n))), ",").cast("array<double>")  # one literal, however many there are
     cuts = df.groupBy(*parts).agg(F.percentile_approx(value, probes, max(2_000, 10 * n)).alias("_cuts")).withColumn("_coarse", F.filter("_cuts", lambda c, i: (i + 1) % STEP == 0))
     joined = df.join(F.broadcast(cuts), parts) if parts else df.withColumn("_all", F.lit(0)).join(F.broadcast(cuts.withColumn("_all", F.lit(0))), "_all").drop("_all")
     # two short searches instead of a long one: which stretch of STEP cuts, and where in it

@@ -5,6 +5,7 @@ import pytest
 from compare import TABLES
 from pyspark.sql import functions as F
 
+from peptrail.operators import prefix
 from peptrail.operators.histogram import Histogram, bin_count, bin_edges, histogram, interpolate, score_statistics
 from peptrail.operators.isotonic import isotonic, monotone_mean, monotone_rates, running
 from peptrail.operators.peps import CURVES, peps, pi0_by_slope, pi0_slope
@@ -211,3 +212,39 @@ def test_large_tables_take_the_two_phase_scan(spark, monkeypatch):
     assert np.allclose(ordered(tdc(df, "score", "target", False)), brute_tdc(s, t, False))
     parts = tdc(df.withColumn("p", F.col("id") % 2), "score", "target", parts=["p"])
     assert np.allclose(ordered(parts.where("p = 1")), brute_tdc(s[1::2], t[1::2]))
+
+
+@pytest.mark.parametrize("buckets", [2, 5, 700])
+def test_scan_by_buckets_of_any_number(spark, buckets):
+    rng = np.random.default_rng(buckets)
+    v = sorted(set(np.round(rng.normal(size=900), 3).tolist()))
+    df = spark.createDataFrame([(x, int(rng.integers(0, 9))) for x in v], "v double, n long").repartition(5)
+    b = prefix.bucketed(df, [], "v", buckets)
+    got = {r["v"]: (r["s"], r["m"]) for r in prefix.scan(b, [], "v", True, {"s": ("sum", "n"), "m": ("max", "n")}).collect()}
+    rows = sorted(map(tuple, df.collect()), reverse=True)
+    total, top = np.cumsum([n for _, n in rows]), np.maximum.accumulate([n for _, n in rows])
+    assert got == {x: (int(a), int(t)) for (x, _), a, t in zip(rows, total, top)}
+    assert [r[0] for r in b.groupBy(prefix.BUCKET).agg({"v": "max"}).orderBy(prefix.BUCKET).select("max(v)").collect()] == sorted(r[0] for r in b.groupBy(prefix.BUCKET).agg({"v": "max"}).select("max(v)").collect())
+
+
+def test_no_silent_caps(spark, monkeypatch):
+    from peptrail.functions import search_features
+    from peptrail.operators.histogram import bin_count
+
+    monkeypatch.setattr(search_features, "MOST_VALUES", 3)
+    df = spark.range(5)
+    with pytest.raises(ValueError):
+        search_features.one_hot(df, "id", "is_")
+    assert search_features.one_hot(df, "id", "is_", [1, 2, 3, 4]).columns == ["id", "is_1", "is_2", "is_3", "is_4"]
+    with pytest.raises(ValueError):
+        bin_count(10**9, 0.0, 1e12, 1.0)
+    assert bin_count(10**9, 0.0, 1e12, 1.0, clip=(50, 500)) == 500
+
+
+def test_logs_of_written_numbers(spark):
+    from peptrail.functions.search_features import auto_log
+
+    df = spark.createDataFrame([(1, "1e-400", "5"), (2, "2.0E-3", "7.5"), (3, "0", "6"), (4, None, "x")], "id int, e string, plain string")
+    r = {x["id"]: x for x in auto_log(df, ["e", "plain"]).collect()}
+    assert r[1]["e"] == -400.0 and abs(r[2]["e"] - np.log10(2e-3)) < 1e-12 and r[3]["e"] == -401.0 and r[4]["e"] is None
+    assert [r[i]["plain"] for i in (1, 2, 3, 4)] == [5.0, 7.5, 6.0, None]
