@@ -166,7 +166,8 @@ def best_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fold_split(spark: SparkSession, sf: str) -> DataFrame:
-    key = (F.col("run_id") * 1_000_003 + F.col("scannr")) * 2654435761 % 4294967296
+    whole = F.col("run_id").cast("decimal(20,0)") * 1_000_003 + F.col("scannr")  # as the SQL's HUGEINT: a bigint overflows from run_id 3475 on
+    key = (whole * 2654435761 % 4294967296).cast("bigint")
     return comp.fold_split(_psm(spark, sf), ["run_id", "scannr"], 3, key).select("row_id", F.col("fold").cast("int").alias("fold"))
 
 
